@@ -175,9 +175,9 @@ def pack_documents(docs: DataFrame, path: str, windows: int = WINDOWS) -> DataFr
     packed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, schema), "packed")
     done = [packed.where("ids is null")]
     left, level = packed.where("ids is not null"), 1
-    tasks = docs.rdd.getNumPartitions() if not docs.isStreaming else 1
+    tasks = left.select(F.count_distinct(F.shiftright("sequence_id", 32))).first()[0]
     while True:
-        tasks = -(-tasks // GROUP)
+        tasks = max(1, -(-tasks // GROUP))
         last, at = tasks == 1, level
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
