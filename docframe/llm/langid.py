@@ -173,17 +173,17 @@ def training_rows(labelled: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score for column ``text``; other columns pass through."""
+def classify(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and score of column ``text``; other columns pass through."""
 
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = model.predict(batch.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, *columns])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(columns[0], StringType()), StructField(columns[1], DoubleType())]))
 
 
 def learn(docs: DataFrame) -> Model:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, materialize, process_cache, stable_fraction
+from .common import crc_mod, process_cache
 
 #: Buckets of tokens, and numbers in a vector.
 BUCKETS, SIZE = 16_384, 64
@@ -109,19 +110,6 @@ def pool(text: str | None, vectors: np.ndarray, memory: Tokens) -> np.ndarray:
     return (vectors[found].sum(axis=0) + marks @ vectors[: len(marks)]) / np.float32(len(found))
 
 
-def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, vector) of every row: the mean of its tokens' and marks' vectors; zeros without tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [pool(x.as_py(), vectors, _memory()) for x in batch.column(1)]
-            flat = np.concatenate(every) if every else np.zeros(0, np.float32)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(flat.astype(np.float32)), SIZE).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "vector"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, vector array<float>")
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -189,30 +177,59 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
+@dataclass
+class Scorer:
+    vectors: np.ndarray
+    network: Network
+
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        """Probability of label 1 for each text; that of the zero vector for null and empty ones."""
+        every = [pool(x.as_py(), self.vectors, _memory()) for x in texts]
+        return self.network.probability(np.array(every, np.float64).reshape(-1, SIZE))
 
-    Learns from ``labels`` (doc_id, quality 0 or 1; other values are passed over) of rows whose
-    crc32(doc_id) mod 3 is not 1: a sample of about LABELLED of them at most, chosen by a hash of
-    the id.  Word vectors come from all texts.  The score is the probability of label 1; empty and
-    null texts get that of the zero vector.  Without labels every score is 0.5.  Repeated rows and
-    null ids are kept.
+
+def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Word vectors from all of ``docs`` (doc_id, text); the network from a sample of labelled rows.
+
+    The sample is the LABELLED ids with the least hashes among ``labels`` (doc_id, quality 0 or 1;
+    other values are passed over) whose crc32(doc_id) mod 3 is not 1.  An id with both labels
+    counts as 0.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vectors = word_vectors(rows)
-    pooled = materialize(document_vectors(rows, vectors), "pooled")
-
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), 3) != 1)
-    share = min(1.0, LABELLED / max(1, known.count()))
-    sample = known.where(stable_fraction(F.col("doc_id"), share, 7)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    found = pooled.join(sample, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("vector").alias("vector"))
-    found = sorted(found.select("doc_id", "quality", "vector", F.xxhash64("doc_id", F.lit(8)).alias("h")).collect(), key=lambda r: r["h"])
-    net = fit(np.array([r["vector"] for r in found], np.float64), np.array([r["quality"] for r in found], np.float64))
+    sample = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(LABELLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probability(x.astype(np.float64)))], ["doc_id", "score"])
+            every = [pool(x.as_py(), vectors, _memory()).tolist() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.list_(pa.float32()))], ["doc_id", "quality", "vector"])
 
-    scored = pooled.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+    # LABELLED rows of two numbers at most are broadcast
+    found = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, vector array<float>")
+    found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("vector").alias("vector"))
+    got = sorted(found.select("quality", "vector", F.xxhash64("doc_id", F.lit(9)).alias("h")).collect(), key=lambda r: r["h"])
+    return Scorer(vectors, fit(np.array([r["vector"] for r in got], np.float64), np.array([r["quality"] for r in got], np.float64)))
+
+
+def classify(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
+    """``docs`` with the probability of label 1 for column ``text``; other columns pass through."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = scorer.probabilities(batch.column(names.index("text")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, column])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
+def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
+
+    The score is the probability of label 1; empty and null texts get that of the zero vector.
+    Without labels every score is 0.5.  Repeated rows and null ids are kept.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
+    out = classify(rows, learn(docs, labels)).drop("text")
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, quality, quality_rules, simhash, tokencache, warc
+from . import fingerprints, hmm, langid, mixing, packing, quality, quality_rules, simhash, tokencache, warc
 from .common import table
 
 
@@ -31,6 +31,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_simhash_near_dedup, op6_language_id, op7_quality_classifier, op8_packing, op9_warc_normaliser, op10_token_counts)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_simhash_near_dedup, op4_lm_scoring, op5_source_mixing, op6_language_id, op7_quality_classifier, op8_packing, op9_warc_normaliser, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

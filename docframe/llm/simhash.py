@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, materialize
@@ -138,3 +138,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     found = connected_components(link_fingerprints(reps))
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: that of the smallest doc_id.
+
+    Rows that repeat a kept doc_id are dropped but for one, with the least text.  Rows with a null
+    doc_id name no document and stay.  All columns pass through.
+    """
+    kept = near_duplicates(docs, n).select(F.col("component_id").alias("_kept")).distinct()
+    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    found = found.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    return found.union(docs.where("doc_id is null"))
