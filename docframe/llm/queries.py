@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, langid, mixing, packing, quality, quality_rules, simhash, tokencache, warc
+from . import fingerprints, hmm, langid, mixing, oracles, packing, quality, quality_rules, simhash, tokencache, warc
 from .common import table
 
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
