@@ -247,7 +247,7 @@ def first_model(rows: list[dict], background: np.ndarray) -> Model:
         for s in range(k):
             own = np.sum([kinds[i] for i in np.flatnonzero(home == s)], axis=0) + PRIOR * background
             model.emit[:, s] = own / own.sum()
-    for _ in range(START_ROUNDS):
+    for _ in range(START_ROUNDS if rows else 0):
         counts = [_counts(model, r) for r in rows]
         model = model.improved(*[sum(c[i] for c in counts) for i in range(3)], background)
     return model

@@ -29,7 +29,7 @@ INDEX_VECTORS, NONZERO = 8192, 8
 CAPITALS, SAME, AGAIN, DIGITS, MARKS = 0, 1, 2, 3, 4
 #: Bound of the labelled sample.
 LABELLED = 8192
-HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.02, 1e-4
+HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.02, 5e-3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 REMEMBERED = 400_000
 _CAPITAL = 1 << 20
