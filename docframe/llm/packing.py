@@ -10,11 +10,14 @@ again in the same way, over and over, until one task holds the last.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +27,27 @@ from .common import materialize, process_cache
 LENGTH, WINDOWS, MIN_CUT, END = 2048, 16, 32, 1
 #: Partitions whose leftovers one task of the next round packs.
 GROUP = 32
-#: Distinct words that one worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
-#: Bytes of text whose unknown words are encoded together.
-CHUNK_BYTES = 1 << 20
+#: Words, and pieces of them, that one worker remembers; a memory is emptied when full.
+REMEMBERED = 800_000
+#: Below this character none combines with another, and categories have long been settled.
+PLAIN = "\u0250"
+#: Bytes of text that are worked on together.
+CHUNK_BYTES = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds:
-    """Token ids of texts by a memory of words.
+def _plain(category: str) -> str:
+    """The characters below PLAIN of a Unicode category, for a class of a regular expression."""
+    return "".join(re.escape(chr(c)) for c in range(ord(PLAIN)) if unicodedata.category(chr(c)).startswith(category))
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words between ASCII white space, one after the other.
+
+class TextIds:
+    """Token ids of texts by memories of words and of the pieces of words.
+
+    The tokenizer lower-cases, drops white space and never joins across the matches of its
+    pattern, so a text's ids are those of its words between ASCII white space, one after the
+    other.  A word of characters below PLAIN without special strings is cut into the matches of
+    the same pattern; other words are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -45,32 +57,76 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.seen: dict[bytes, bytes] = {}
-
-    def documents(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids, then END, as little-endian unsigned 32-bit bytes."""
-        found = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list(set().union(*found) - self.seen.keys())
-        every = self.model.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.seen.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, every))
-        end, ids = END.to_bytes(4, "little"), self.seen.__getitem__
-        return [b"".join(map(ids, x)) + end for x in found]
-
-
-def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        letters, numbers = _plain("L"), _plain("N")
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
+        self.odd = re.compile(f"[^\0-{chr(ord(PLAIN) - 1)}]|<\\||[\x1c-\x1f]").search
+        vocabulary = self.model.get_vocab()
+        # the last id of a match ends a word
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Runs of letters are encoded as one text and told apart by the ends of words; the rest one by one."""
+        runs = [x for x in new if x.isalpha()]
+        ids = np.array(self.model.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(runs):
+            data, at = ids.tobytes(), (4 * stops).tolist()
+            self.pieces.update(zip(runs, (data[i:j] for i, j in zip([0, *at], at))))
+        rest = [x for x in new if x not in self.pieces]
+        self.pieces.update(zip(rest, self._encode(rest)))
+
+    def _learn(self, new: list[str]) -> None:
+        whole = [x for x in new if self.odd(x)]
+        self.words.update(zip(whole, self._encode(whole)))
+        parts = {x: self.cut(x.lower()) for x in new if x not in self.words}
+        pieces = self.pieces
+        if lacking := {p for x in parts.values() for p in x if p not in pieces}:
+            self._learn_pieces(list(lacking))
+        self.words.update((w, pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x))) for w, x in parts.items())
+
+    def documents(self, texts: pa.Array) -> list[memoryview]:
+        """Each text's ids, then END, as little-endian unsigned 32-bit bytes.
+
+        Only the different words of the texts are looked up; the rest is done by arrays.
+        """
+        for memory in (self.words, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = found.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        ids = list(map(self.words.get, different))
+        if None in ids:
+            self._learn([x for x, known in zip(different, ids) if known is None])
+            ids = list(map(self.words.get, different))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        every = np.frombuffer(b"".join(ids), "<u4")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        flat = every[np.repeat(begins[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[found.offsets.to_numpy()[1:] - found.offsets[0].as_py()]
+        whole = memoryview(np.insert(flat, stops, END).astype("<u4").tobytes())
+        stops = 4 * (stops + np.arange(1, len(stops) + 1))
+        return [whole[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of rows with about ``most`` bytes or one row at least."""
-    start, size = 0, 0
-    held: list[str | None] = []
-    for i, x in enumerate(texts):
-        held.append(x.as_py())
-        size += len(held[-1] or "")
-        if size >= most:
-            yield start, held
-            start, held, size = i + 1, [], 0
-    if held:
-        yield start, held
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most)))
+        yield start, texts.slice(start, stop - start)
+        start = stop
 
 
 class Packer:
@@ -160,14 +216,14 @@ def pack_documents(docs: DataFrame, path: str, windows: int = WINDOWS) -> DataFr
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = process_cache(f"words:{path}", lambda: WordIds(path))
+        memory = process_cache(f"words:{path}", lambda: TextIds(path))
 
         def items() -> Iterator[tuple]:
             for batch in batches:
                 docs_of = batch.column(0).to_pylist()
                 for start, texts in chunks(batch.column(1)):
                     for i, ids in enumerate(memory.documents(texts), start):
-                        yield len(ids) // 4, (docs_of[i], 0, memoryview(ids), len(ids) // 4)
+                        yield len(ids) // 4, (docs_of[i], 0, ids, len(ids) // 4)
 
         yield from _batches(_pack(items(), windows, TaskContext.get().partitionId() << 32))
 
