@@ -67,9 +67,9 @@ def literal_longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def md5_28(token: Column) -> Column:
-    """The first 28 bits of the MD5 of a string, as a long: a hash every SQL engine has."""
-    return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("long")
+def token_hash(token: Column) -> Column:
+    """CRC-32 of a string's UTF-8 bytes, as a long."""
+    return F.crc32(token.cast("binary"))
 
 
 def process_cache(key: str, make: Callable):

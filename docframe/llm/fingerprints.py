@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, literal_longs, md5_28
+from .common import let, literal_longs, token_hash
 
 K, S = 5, 2
 #: Anchors kept in a fingerprint: those with the least hashes.
@@ -26,7 +26,7 @@ BUCKET_CHARS, MAX_BUCKETS = 2_000_000, 65_536
 
 
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), md5_28)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: token_hash(t) % PRIME)
 
 
 def _join(a: Column, b: Column) -> Column:

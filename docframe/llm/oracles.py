@@ -9,6 +9,19 @@ _WS = "'[\\x20\\x09-\\x0D]+'"
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
 
+#: CTE crcs (tok, crc): CRC-32 of the distinct strings of CTE ``tokens`` (tok), by the table of bytes.
+_CRC = """
+crc_step AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)
+),
+crcs AS (
+  SELECT tok, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) AS crc
+  FROM (SELECT tok, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT) AS bytes
+        FROM (SELECT tok, hex(encode(tok)) AS x FROM (SELECT DISTINCT tok FROM tokens))), crc_step
+)"""
+
+
 def _sketches(texts: str, name: str) -> str:
     """CTEs that turn ``texts`` (id, text) into ``name`` (id, print): list of 8-digit entries."""
     chain = "t1"
@@ -18,14 +31,10 @@ def _sketches(texts: str, name: str) -> str:
     leads = ", ".join(f"lead(h, {i}) OVER w AS t{i + 1}" for i in range(1, fp.K))
     mer = lambda a, b: f"({a} * {fp.MIX_A} + {b} * {fp.MIX_B} + 12345) % {fp.PRIME}"
     mers = [mer(f"t{i}", f"t{i + 1}") for i in range(1, fp.K)]
-    # the chars class and the cut of long words are those of fingerprints.TOKEN
-    token = fp.TOKEN.replace("\\x20\\x09-\\x0D", "\\x20\\x09-\\x0D")
     short = "list_reduce(list_prepend(0::BIGINT, list(h ORDER BY pos)), lambda a, t: (a * 48271 + t + 1) % " + str(fp.PRIME) + ")"
     return f"""
 {name}_tok AS (
-  SELECT id, pos, ('0x' || substr(md5(tok), 1, 7))::BIGINT AS h
-  FROM (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos
-        FROM (SELECT id, regexp_extract_all(text, '{token}') AS toks FROM {texts}))
+  SELECT id, pos, crc % {fp.PRIME} AS h FROM tokens JOIN crcs USING (tok) WHERE part = '{texts}'
 ),
 {name}_mer AS (
   SELECT id, pos, h AS t1, {leads} FROM {name}_tok WINDOW w AS (PARTITION BY id ORDER BY pos)
@@ -64,6 +73,12 @@ own AS (SELECT doc_id AS id, text FROM ring),
 edited AS (
   SELECT doc_id AS id, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS text FROM ring
 ),
+tokens AS (
+  SELECT part, id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos
+  FROM (SELECT part, id, regexp_extract_all(text, '{fp.TOKEN}') AS toks
+        FROM (SELECT 'own' AS part, * FROM own UNION ALL SELECT 'edited', * FROM edited))
+),
+{_CRC.strip()},
 {_sketches('own', 'f')},
 {_sketches('edited', 'e')}
 SELECT r.doc_id, length(r.text)::BIGINT AS n_chars, sha256(d.text) AS edited_sha256,
@@ -101,11 +116,12 @@ rules AS (
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM base b LEFT JOIN stats USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
 ),
-tok AS (
-  SELECT doc_id, ('0x' || substr(md5(t), 1, 7))::BIGINT % {_B} AS b, pos
-  FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos
-        FROM (SELECT doc_id, regexp_extract_all(lower(text), '{qr.TOKEN}') AS ts FROM base))
+tokens AS (
+  SELECT doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{qr.TOKEN}') AS ts FROM base)
 ),
+{_CRC.strip()},
+tok AS (SELECT doc_id, pos, crc % {_B} AS b FROM tokens JOIN crcs USING (tok)),
 pairs AS (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY pos) AS a FROM tok),
 grams AS (
   SELECT doc_id, b AS place FROM pairs

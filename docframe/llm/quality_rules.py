@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, literal_doubles, materialize, md5_28, words
+from .common import let, literal_doubles, materialize, token_hash, words
 
 #: Buckets of single tokens; pairs of tokens have as many, and a token beside itself has one more.
 BUCKETS = 8191
@@ -58,7 +58,7 @@ def base_columns(text: Column) -> dict[str, Column]:
 def token_buckets(text: Column) -> Column:
     """The bucket of every token of a text, in order, as array<smallint>."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: (md5_28(t) % BUCKETS).cast("smallint"))
+    return F.transform(found, lambda t: (token_hash(t) % BUCKETS).cast("smallint"))
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -91,7 +91,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     )
     first = materialize(first.select("doc_id", "stats.*", "n_symbols", "n_dup_lines", "buckets"), "rules")
 
-    marked = first.select("doc_id", "buckets").join(trusted.select(F.col("doc_id").cast("long")).distinct().withColumn("hit", F.lit(1)), "doc_id", "left")
+    # labels grow with the corpus: never a broadcast
+    marked = first.select("doc_id", "buckets").join(trusted.select(F.col("doc_id").cast("long")).distinct().withColumn("hit", F.lit(1)).hint("merge"), "doc_id", "left")
     tokens = F.col("buckets")
     singles = tokens.cast("array<int>")
     pairs = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda b, i: _pair(F.get(tokens, i), b).cast("int"))
@@ -99,7 +100,6 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     counts = places.groupBy("place").agg(F.sum("hit").alias("t"), F.count("*").alias("r"))
     table = literal_doubles(ratios([tuple(x) for x in counts.collect()]))
 
-    # the ratios ride beside the tokens, not inside a collapsed projection
     def total(b: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             pair = F.when(i > 0, F.get(table, _pair(F.get(b, i - 1), F.get(b, i)).cast("int"))).otherwise(F.lit(0.0))
