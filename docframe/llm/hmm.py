@@ -310,7 +310,9 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     share = tokens + words + 1.0
     background = share / share.sum()
 
-    sample = joined.orderBy(F.xxhash64("block"), "block").select(*_READ).limit(START_BLOCKS).collect()
+    # the numbers of the sampled blocks first: sorting whole blocks would send many to the driver
+    chosen = [r["block"] for r in joined.select("block").orderBy(F.xxhash64("block"), "block").limit(START_BLOCKS).collect()]
+    sample = joined.where(F.col("block").isin(chosen)).select(*_READ).orderBy("block").collect() if chosen else []
     model = first_model([r.asDict() for r in sample], background)
     for _ in range(rounds):
         model = model.improved(*gather(joined, model), background)
