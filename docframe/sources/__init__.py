@@ -1 +1 @@
-
+"""Collections in versioned Parquet, and their text forms."""

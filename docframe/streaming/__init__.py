@@ -1 +1 @@
-
+"""Change feeds and live queries."""
