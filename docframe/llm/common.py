@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -46,6 +47,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch sent to a worker: texts can be long, and a batch is held several times over.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in this session, unless a smaller bound is set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key)
+    size = int(found.rstrip("b")) if re.fullmatch(r"\d+b?", found) else 0
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -73,9 +87,12 @@ def token_hash(token: Column) -> Column:
 
 
 def process_cache(key: str, make: Callable):
-    """One object per worker process, kept between tasks."""
+    """One object per worker process, kept between tasks of an operator: its key is
+    "operator:what".  A worker that turns to another operator lets go of the last one's."""
     store = sys.__dict__.setdefault("_docframe_cache", {})
     if key not in store:
+        for other in [k for k in store if k.partition(":")[0] != key.partition(":")[0]]:
+            del store[other]
         store[key] = make()
     return store[key]
 

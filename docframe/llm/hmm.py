@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, crc_mod, materialize
+from .common import crc_mod, LOWER_ASCII, materialize, small_batches
 
 STATES, SYMBOLS = 8, 16_384
 #: The end token's word and symbol; no word contains white space.
@@ -91,6 +91,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame) -> DataFrame:
     """(doc_id, held, text) -> the table of blocks."""
+    small_batches(docs.sparkSession)
     return materialize(docs.select("doc_id", "held", "text").mapInArrow(_encode, _BLOCK_SQL), "blocks")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod, stable_fraction
+from .common import crc_mod, small_batches, stable_fraction
 
 LONGEST = 3
 #: Bounds of the labelled sample: rows of each language, languages, and landmarks among the rows.
@@ -175,6 +175,7 @@ def training_rows(labelled: DataFrame) -> list[tuple[str, str]]:
 
 def classify(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the language and score of column ``text``; other columns pass through."""
+    small_batches(docs.sparkSession)
 
     names = docs.columns
 

@@ -22,17 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache
+from .common import materialize, process_cache, small_batches
 
 LENGTH, WINDOWS, MIN_CUT, END = 2048, 16, 32, 1
 #: Partitions whose leftovers one task of the next round packs.
 GROUP = 32
-#: Words, and pieces of them, that one worker remembers; a memory is emptied when full.
-REMEMBERED = 800_000
+#: Words that one worker remembers, and a third of the pieces of words; beyond it, the last texts' words stay.
+REMEMBERED = 200_000
 #: Below this character none combines with another, and categories have long been settled.
 PLAIN = "\u0250"
 #: Bytes of text that are worked on together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -95,9 +95,6 @@ class TextIds:
 
         Only the different words of the texts are looked up; the rest is done by arrays.
         """
-        for memory in (self.words, self.pieces):
-            if len(memory) > REMEMBERED:
-                memory.clear()
         found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = found.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
@@ -105,6 +102,11 @@ class TextIds:
         if None in ids:
             self._learn([x for x, known in zip(different, ids) if known is None])
             ids = list(map(self.words.get, different))
+        if len(self.words) > REMEMBERED:
+            # the words of these texts are the likeliest in the next
+            self.words = dict(zip(different, ids))
+        if len(self.pieces) > 3 * REMEMBERED:
+            self.pieces = {}
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
         every = np.frombuffer(b"".join(ids), "<u4")
@@ -214,9 +216,10 @@ def pack_documents(docs: DataFrame, path: str, windows: int = WINDOWS) -> DataFr
     open sequences.  Only the last sequence of all may be short; others lack fewer than MIN_CUT
     ids, or pieces too short to cut.
     """
+    small_batches(docs.sparkSession)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = process_cache(f"words:{path}", lambda: TextIds(path))
+        memory = process_cache(f"packing:{path}", lambda: TextIds(path))
 
         def items() -> Iterator[tuple]:
             for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, process_cache
+from .common import crc_mod, process_cache, small_batches
 
 #: Buckets of tokens, and numbers in a vector.
 BUCKETS, SIZE = 16_384, 64
@@ -31,7 +31,7 @@ CAPITALS, SAME, AGAIN, DIGITS, MARKS = 0, 1, 2, 3, 4
 LABELLED = 8192
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.02, 5e-3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CAPITAL = 1 << 20
 
 
@@ -71,11 +71,11 @@ def index_vectors() -> np.ndarray:
 
 
 def _memory() -> Tokens:
-    return process_cache("quality-tokens", Tokens)
+    return process_cache("quality:tokens", Tokens)
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = process_cache("quality-index", index_vectors)
+    index = process_cache("quality:index", index_vectors)
     sums = np.zeros((BUCKETS, SIZE), np.int32)
     for batch in batches:
         for x in batch.column(0):
@@ -95,6 +95,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     Tasks return one row per bucket; the driver gets BUCKETS rows at most.
     """
+    small_batches(docs.sparkSession)
     parts = docs.select("text").mapInArrow(_accumulate, "bucket int, sums array<int>")
     sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(SIZE)]).alias("sums")).collect()
     out = np.zeros((BUCKETS, SIZE), np.float32)
@@ -214,6 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 def classify(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 for column ``text``; other columns pass through."""
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

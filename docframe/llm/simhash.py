@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize
+from .common import LOWER_ASCII, materialize, small_batches
 from .components import connected_components
 
 SEGMENTS, MAX_BITS, SHINGLE_WORDS, SEED = 5, 2, 3, 42
@@ -52,6 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) of every document; null, empty and blank texts have fingerprint 0."""
+    small_batches(docs.sparkSession)
     if n == SHINGLE_WORDS:
         run = _fingerprints
     else:

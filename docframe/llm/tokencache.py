@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache, scratch_dir
+from .common import materialize, process_cache, scratch_dir, small_batches
 
 SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Segments that one worker remembers; the memory is emptied when full.
@@ -95,6 +95,7 @@ def counter(path: str):
 
 def encode_counts(contents: DataFrame, path: str) -> DataFrame:
     """(content, text) -> (content, n_tokens), encoding every row."""
+    small_batches(contents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)

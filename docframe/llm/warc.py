@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir
+from .common import materialize, scratch_dir, small_batches
 
 #: Payloads below this many bytes are always stored in full.
 REVISIT_BYTES = 1000
@@ -258,6 +258,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     give records of their own; an empty table gives no archive and an empty result.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or f"{scratch_dir(spark)}/docframe/warc-{uuid.uuid4().hex}"
     written = materialize(write_archives(plan_records(pages), f"{folder}/monolithic"), "archives")
     n = max(1, written.count())
