@@ -535,7 +535,7 @@ class Batch:
             ids = [d["_id"] for d in docs]
             schema = schema_of(docs)
             df = self.db.spark.createDataFrame([to_spark(d, schema) for d in docs], schema)
-        fresh = not own.files and name not in self.base["collections"]
+        fresh = not own.files
         old = own.schema
         own.schema = T.StructType(sorted((schema if fresh else merge_schemas(own.schema, schema)).fields, key=lambda f: f.name != "_id"))
         if own.files and widened(old, own.schema):
