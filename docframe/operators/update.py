@@ -289,6 +289,8 @@ def columns(df: DataFrame, update: Update, hit: Column, inserting: bool = False)
     A change that does not suit a field's type is an UpdateError here; an integer that overflows
     is an error when the rows are computed.
     """
+    # the rows are chosen before anything changes
+    df, hit = df.withColumn("_chosen", hit), F.col("_chosen")
     for c in update.check().changes:
         names = c.path.split(".")
         node = C.Scope.of(df).walk(A.Path.of(c.path))
@@ -351,4 +353,4 @@ def columns(df: DataFrame, update: Update, hit: Column, inserting: bool = False)
                     new = F.when(n == 0, x).otherwise(F.slice(x, F.lit(2) if c.value == -1 else F.lit(1), n - 1))
                     new = F.when(x.isNull(), x).otherwise(new)
         df = _write(df, names, new, hit, c.path)
-    return df
+    return df.drop("_chosen")
