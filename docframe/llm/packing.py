@@ -90,7 +90,7 @@ class TextIds:
             self._learn_pieces(list(lacking))
         self.words.update((w, pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x))) for w, x in parts.items())
 
-    def documents(self, texts: pa.Array) -> list[memoryview]:
+    def documents(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids, then END, as little-endian unsigned 32-bit bytes.
 
         Only the different words of the texts are looked up; the rest is done by arrays.
@@ -115,8 +115,9 @@ class TextIds:
         ends = np.cumsum(lengths)
         flat = every[np.repeat(begins[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         stops = np.concatenate([[0], ends])[found.offsets.to_numpy()[1:] - found.offsets[0].as_py()]
-        whole = memoryview(np.insert(flat, stops, END).astype("<u4").tobytes())
+        whole = np.insert(flat, stops, END).astype("<u4").tobytes()
         stops = 4 * (stops + np.arange(1, len(stops) + 1))
+        # copies: a piece in an open sequence must not hold the ids of all these texts
         return [whole[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
 
@@ -226,7 +227,7 @@ def pack_documents(docs: DataFrame, path: str, windows: int = WINDOWS) -> DataFr
                 docs_of = batch.column(0).to_pylist()
                 for start, texts in chunks(batch.column(1)):
                     for i, ids in enumerate(memory.documents(texts), start):
-                        yield len(ids) // 4, (docs_of[i], 0, ids, len(ids) // 4)
+                        yield len(ids) // 4, (docs_of[i], 0, memoryview(ids), len(ids) // 4)
 
         yield from _batches(_pack(items(), windows, TaskContext.get().partitionId() << 32))
 
