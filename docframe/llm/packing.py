@@ -10,8 +10,6 @@ again in the same way, over and over, until one task holds the last.
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,27 +25,28 @@ from .common import materialize, process_cache, small_batches
 LENGTH, WINDOWS, MIN_CUT, END = 2048, 16, 32, 1
 #: Partitions whose leftovers one task of the next round packs.
 GROUP = 32
-#: Words that one worker remembers, and a third of the pieces of words; beyond it, the last texts' words stay.
-REMEMBERED = 200_000
-#: Below this character none combines with another, and categories have long been settled.
-PLAIN = "\u0250"
+#: Parts of texts that one worker remembers; beyond it, those of the last texts stay.
+REMEMBERED = 600_000
 #: Bytes of text that are worked on together.
 CHUNK_BYTES = 8 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _plain(category: str) -> str:
-    """The characters below PLAIN of a Unicode category, for a class of a regular expression."""
-    return "".join(re.escape(chr(c)) for c in range(ord(PLAIN)) if unicodedata.category(chr(c)).startswith(category))
+#: What the tokenizer's pattern matches beside runs of letters, of lower-case texts without ODD parts.
+MARKS = "('s|'t|'re|'ve|'m|'ll|'d|\\p{N}|[^\\x09-\\x0d\\x20\\p{L}\\p{N}]+)"
+#: Characters from U+0250 on may combine, and their categories change between Unicode versions; a few
+#: others are white space to some libraries only, or change their length in lower case; "<|" begins
+#: the special strings.
+ODD = "[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\x{12f}\\x{131}-\\x{24f}]|<\\|"
 
 
 class TextIds:
-    """Token ids of texts by memories of words and of the pieces of words.
+    """Token ids of texts by a memory of the pieces that the tokenizer cuts them into.
 
     The tokenizer lower-cases, drops white space and never joins across the matches of its
-    pattern, so a text's ids are those of its words between ASCII white space, one after the
-    other.  A word of characters below PLAIN without special strings is cut into the matches of
-    the same pattern; other words are encoded whole.
+    pattern, so a text's ids are those of the matches, one after the other.  Spaces around MARKS
+    part the matches of most texts.  Texts with ODD parts are cut at ASCII white space, and their
+    words are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,11 +56,8 @@ class TextIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        letters, numbers = _plain("L"), _plain("N")
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
-        self.odd = re.compile(f"[^\0-{chr(ord(PLAIN) - 1)}]|<\\||[\x1c-\x1f]").search
+        self.words: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
         # the last id of a match ends a word
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -81,32 +77,24 @@ class TextIds:
         rest = [x for x in new if x not in self.pieces]
         self.pieces.update(zip(rest, self._encode(rest)))
 
-    def _learn(self, new: list[str]) -> None:
-        whole = [x for x in new if self.odd(x)]
-        self.words.update(zip(whole, self._encode(whole)))
-        parts = {x: self.cut(x.lower()) for x in new if x not in self.words}
-        pieces = self.pieces
-        if lacking := {p for x in parts.values() for p in x if p not in pieces}:
-            self._learn_pieces(list(lacking))
-        self.words.update((w, pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x))) for w, x in parts.items())
-
-    def documents(self, texts: pa.Array) -> list[bytes]:
-        """Each text's ids, then END, as little-endian unsigned 32-bit bytes.
+    def _learn_words(self, new: list[str]) -> None:
+        self.words.update(zip(new, self._encode(new)))
 
-        Only the different words of the texts are looked up; the rest is done by arrays.
-        """
-        found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    def _ids(self, texts: pa.Array, odd: bool) -> list[bytes]:
+        """The texts' ids; only the different parts are looked up, the rest is done by arrays."""
+        memory, learn = (self.words, self._learn_words) if odd else (self.pieces, self._learn_pieces)
+        cut = texts if odd else pc.replace_substring_regex(pc.utf8_lower(texts), MARKS, " \\1 ")
+        found = pc.ascii_split_whitespace(cut)
         coded = found.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
-        ids = list(map(self.words.get, different))
+        ids = list(map(memory.get, different))
         if None in ids:
-            self._learn([x for x, known in zip(different, ids) if known is None])
-            ids = list(map(self.words.get, different))
-        if len(self.words) > REMEMBERED:
-            # the words of these texts are the likeliest in the next
-            self.words = dict(zip(different, ids))
-        if len(self.pieces) > 3 * REMEMBERED:
-            self.pieces = {}
+            learn([x for x, known in zip(different, ids) if known is None])
+            ids = list(map(memory.get, different))
+        if len(memory) > REMEMBERED:
+            # the parts of these texts are the likeliest in the next
+            memory.clear()
+            memory.update(zip(different, ids))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
         every = np.frombuffer(b"".join(ids), "<u4")
@@ -120,6 +108,15 @@ class TextIds:
         # copies: a piece in an open sequence must not hold the ids of all these texts
         return [whole[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, then END, as little-endian unsigned 32-bit bytes."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        if not pc.any(odd).as_py():
+            return self._ids(texts, False)
+        own = {False: iter(self._ids(texts.filter(pc.invert(odd)), False)), True: iter(self._ids(texts.filter(odd), True))}
+        return [next(own[x]) for x in odd.to_pylist()]
+
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of rows with about ``most`` bytes or one row at least."""
