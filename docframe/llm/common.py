@@ -31,9 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="docframe-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return process_cache("scratch:folder", lambda: "file://" + tempfile.mkdtemp(prefix="docframe-"))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
