@@ -135,7 +135,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     place = lambda b, guest, wrap: F.struct(b.cast("int").alias("b"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
     here = place(F.col("_bucket"), False, False)
     first_row = F.col("_key") == F.lit(least)
-    edge_row = F.array_contains(literal_longs(edges), F.col("_key")) if edges else F.lit(False)
+    edge_row = F.get(literal_longs(edges), F.col("_bucket") - 1) == F.col("_key") if edges else F.lit(False)
     # every edge is an id of the table and opens its bucket, so no bucket lacks its first row
     dealt = own.withColumn("_p", F.explode(F.when(first_row, F.array(here, place(F.lit(last), True, True))).when(edge_row, F.array(here, place(F.col("_bucket") - 1, True, False))).otherwise(F.array(here))))
     order = Window.partitionBy("_p.b").orderBy("_p.wrap", "_key", F.col("text").asc_nulls_first())
