@@ -13,7 +13,7 @@ from .operators import update as upd
 from .plans import compile as C
 from .plans.parser import parse_condition
 from .queries import Query, baskets, load, nullable_orders
-from .sources import dynamic
+from .sources import dynamic, jsonl
 from .sources.store import Database
 from .streaming import live as L
 
@@ -169,10 +169,28 @@ def dynamic_fields(spark: SparkSession, sf: str) -> DataFrame:
     return dynamic.fields(events)
 
 
-for _f in (delete_many, batch, upsert, snapshot_read, update_by_function, live_filter_final, live_sorted_final, live_aggregate_final, change_feed, dynamic_find, dynamic_aggregate, dynamic_fields):
+def export_import(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection written as JSON lines and restored into another database."""
+    db, _ = _stored(spark, sf, "supplier")
+    other = Database(spark, scratch(spark))
+    jsonl.load(other, jsonl.lines(db))
+    return other.collection("supplier").frame("select s_name, s_acctbal")
+
+
+def compacted(spark: SparkSession, sf: str) -> DataFrame:
+    db, c = _stored(spark, sf, "nation")
+    c.delete_many("n_regionkey = 2")
+    c.insert({"_id": 500, "n_name": "late", "n_regionkey": 0})
+    db.compact()
+    return c.frame("select n_name")
+
+
+for _f in (export_import, compacted, delete_many, batch, upsert, snapshot_read, update_by_function, live_filter_final, live_sorted_final, live_aggregate_final, change_feed, dynamic_find, dynamic_aggregate, dynamic_fields):
     _QUERIES[_f.__name__] = _f
 _LATE = "SELECT c_custkey AS _id, c_nationkey, c_acctbal + CASE WHEN c_nationkey = 5 THEN 1000.0 ELSE 0 END AS c_acctbal FROM customer WHERE c_nationkey <> 6 UNION ALL SELECT -5, 5, 9999.5"
 _SQL |= {
+    "export_import": "SELECT s_suppkey AS _id, s_name, s_acctbal FROM supplier",
+    "compacted": "SELECT n_nationkey AS _id, n_name FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 500, 'late'",
     "delete_many": "SELECT c_custkey AS _id, c_name FROM customer WHERE NOT (c_acctbal < 0 OR c_nationkey IN (1, 2))",
     "batch": "SELECT c_custkey AS _id, c_acctbal + CASE WHEN c_nationkey = 3 THEN 1.0 ELSE 0 END AS c_acctbal, CASE WHEN c_nationkey = 3 THEN true END AS vip FROM customer WHERE c_nationkey <> 4 UNION ALL SELECT -1, 0.0, NULL",
     "upsert": "SELECT n_nationkey AS _id, CASE WHEN n_nationkey = 3 THEN 'three' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 777, 'made', 9",
