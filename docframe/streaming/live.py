@@ -92,7 +92,10 @@ class Feed:
         self._error: BaseException | None = None
         self._seen = db.version()
         self._lock = threading.Lock()
-        self._stream = self._start()
+        # no commit is taken in before what is there has been told
+        with self._lock:
+            self._stream = self._start()
+            self._guard(self._first)
         self._clock = None
         if clock_every is not None:
             self._clock = threading.Thread(target=self._tick, args=(clock_every,), daemon=True)
@@ -120,6 +123,9 @@ class Feed:
             self._error = e
             self._closed.set()
 
+    def _first(self) -> Iterator[Any]:
+        return iter(())
+
     def _advance(self, old: int, new: int) -> Iterator[Any]:
         raise NotImplementedError
 
@@ -213,8 +219,6 @@ class LiveQuery(Feed):
             raise NotLive("a live query with a limit needs a sort")
         self._now = datetime.now(timezone.utc)
         super().__init__(db, clock_every=clock_every if self.filter.reads_now else None, **options)
-        with self._lock:
-            self._guard(self._first)
 
     def _found(self, version: int, now: datetime) -> DataFrame:
         return fnd.find(self.db.frame(self.db.manifest(version)["collections"].get(self.name)), self.filter, now=now)
@@ -319,10 +323,11 @@ class LiveAggregate(Feed):
             raise A.BindError(f"no text uses the parameter :{sorted(unused)[0]}")
         if self.filter.offset or self.filter.limit is not None and not self.filter.order:
             raise NotLive("a live aggregate's filter takes no skip, and a limit needs a sort")
+        self._rows: list[dict] = []
         super().__init__(db, clock_every=clock_every if self.filter.reads_now else None, **options)
-        with self._lock:
-            self._rows: list[dict] = []
-            self._guard(self._again, self._seen)
+
+    def _first(self) -> Iterator[Any]:
+        return self._again(self._seen)
 
     def _advance(self, old: int, new: int) -> Iterator[Any]:
         for v in range(old + 1, new + 1):
