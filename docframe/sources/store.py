@@ -8,6 +8,7 @@ updates and deletes rewrite only the files that hold a matching document.  A sna
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,6 +57,14 @@ class State:
         return cls(T.StructType.fromJson(x["schema"]), list(x["files"]), dict(x["indexes"]))
 
 
+def typed(cls: type, doc: dict) -> Any:
+    """An instance of a dataclass from a document; fields that it lacks take their defaults."""
+    names = {x.name for x in dataclasses.fields(cls)}
+    if "id" in names and "id" not in doc and "_id" in doc:
+        doc = {**doc, "id": doc["_id"]}
+    return cls(**{k: v for k, v in doc.items() if k in names})
+
+
 class View:
     """Reads of one collection at one version."""
 
@@ -124,6 +133,13 @@ class View:
         out = self.aggregate_frame(f, a, params, now)
         return [{k: None for k in out.columns} | document(r, out.schema) for r in out.collect()]
 
+    def find_as(self, cls: type, f: Any = None, params: dict | None = None) -> list:
+        """Documents as instances of a dataclass; its field ``id`` takes the _id, other names drop out."""
+        return [typed(cls, d) for d in self.find(f, params)]
+
+    def aggregate_as(self, cls: type, f: Any, a: Any, params: dict | None = None) -> list:
+        return [typed(cls, r) for r in self.aggregate(f, a, params)]
+
     def explain(self, f: Any = None, params: dict | None = None) -> dict:
         """The filter as read, Spark's plan for it, and what of it reaches the Parquet scan."""
         f = fnd.as_filter(f, params)

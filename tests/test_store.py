@@ -143,3 +143,21 @@ def test_indexes(db):
     assert plan["filter"] == "k = 1" and "EqualTo(k,1)" in plan["pushed"][0]
     c.drop_index("e")
     c.insert({"_id": 4, "e": "x"})
+
+
+def test_dataclasses(db):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Thing:
+        id: int
+        n: int = 0
+
+    @dataclass
+    class Total:
+        s: int
+
+    c = db.collection("c")
+    c.insert([{"_id": 1, "n": 4, "more": "x"}, {"_id": 2}])
+    assert c.find_as(Thing, "order by _id") == [Thing(1, 4), Thing(2)]
+    assert c.aggregate_as(Total, "", "sum(n) as s") == [Total(4)]
