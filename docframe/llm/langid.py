@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import crc_mod, small_batches, stable_fraction
 
@@ -30,6 +30,9 @@ INVENTORY = 16_384
 RIDGE = 1e-3
 #: Characters of texts that are worked on together (a longer text alone).
 BATCH_CHARS, BATCH_TEXTS = 1 << 20, 256
+#: Texts with a smaller share of known n-grams are of no learned language; lower for a language whose own rows
+#: beside the landmarks have less: the share that all but 1 in 100 of them reach, less SHARE_SLACK.
+LEAST_SHARE, SHARE_SLACK, SHARE_ROWS = 0.75, 0.05, 20
 UNKNOWN = "und"
 
 
@@ -73,6 +76,7 @@ class Model:
     inventory: np.ndarray  # sorted codes of n-grams
     landmarks: np.ndarray  # float32, n-grams x landmarks, divided by the landmarks' norms
     weights: np.ndarray  # landmarks x languages
+    least_shares: np.ndarray | None = None  # by language: the share of known n-grams that its texts have at least
 
     def presences(self, texts: list[str]) -> np.ndarray:
         """float32, texts x inventory: 1 where the text has the n-gram.  Rows are divided by their norms."""
@@ -85,6 +89,27 @@ class Model:
         norms = np.sqrt(out.sum(axis=1, keepdims=True))
         return out / np.maximum(norms, 1)
 
+    def shares(self, texts: list[str | None]) -> np.ndarray:
+        """The share of each text's different n-grams that the inventory has; it falls for foreign text."""
+        out = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            known = every = 0
+            for places, grams in zip(self._table(), _grams(_codes(text or "", self.alphabet))):
+                different = np.unique(grams & 0xFFFFFF)
+                every += len(different)
+                known += int((places[different] < len(self.inventory)).sum())
+            out[i] = known / max(every, 1)
+        return out
+
+    def fits(self, texts: list[str | None], langs: list[str]) -> list[bool]:
+        """Is each text of the language predicted for it, by its share of known n-grams?  False for UNKNOWN."""
+        least = dict(zip(self.languages, self.least_shares if self.least_shares is not None else []))
+        real = [i for i, lang in enumerate(langs) if lang in least]
+        out = [False] * len(texts)
+        for i, share in zip(real, self.shares([texts[i] for i in real])):
+            out[i] = bool(share >= least[langs[i]])
+        return out
+
     def _table(self) -> list[np.ndarray]:
         """For n-grams of each length, the place of a code in the inventory; the last place for the others."""
         if not hasattr(self, "_places"):
@@ -151,6 +176,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     weight = np.array([1.0 / count[lang] for _, lang in rows])[:, None]
     left = features.T @ (weight * features) + RIDGE * np.eye(features.shape[1])
     model.weights = (root @ np.linalg.solve(left, features.T @ (weight * target))).astype(np.float32)
+    # the inventory comes from the landmarks alone, so the other rows are held out from it
+    own = [model.shares([x for x, lang in rows if lang == name][LANDMARKS_PER_LANGUAGE:]) for name in languages]
+    pool = np.concatenate(own)
+    reached = [x if len(x) >= SHARE_ROWS else pool for x in own]
+    model.least_shares = np.array([min(LEAST_SHARE, np.quantile(x, 0.01) - SHARE_SLACK) if len(x) >= SHARE_ROWS else 0.0 for x in reached])
     return model
 
 
@@ -173,18 +203,26 @@ def training_rows(labelled: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-def classify(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the language and score of column ``text``; other columns pass through."""
+def classify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and score of column ``text``; other columns pass through.
+
+    A third name adds a boolean: does the text fit its language (``Model.fits``)?
+    """
     small_batches(docs.sparkSession)
 
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, *columns])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(columns[0], StringType()), StructField(columns[1], DoubleType())]))
+            texts = batch.column(names.index("text")).to_pylist()
+            langs, scores = model.predict(texts)
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            if len(columns) > 2:
+                found.append(pa.array(model.fits(texts, langs), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*names, *columns])
+
+    kinds = (StringType(), DoubleType(), BooleanType())
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *map(StructField, columns, kinds)]))
 
 
 def learn(docs: DataFrame) -> Model:

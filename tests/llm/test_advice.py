@@ -49,3 +49,19 @@ def test_the_stage_finds_copies_of_likeness_080(spark, sf, monkeypatch, pairwise
                 root = [low if x == high else x for x in root]
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, texts), sf).collect()}
     assert got == set(root) and 40 < len(root) - len(got)
+
+
+def test_the_stage_drops_junk_and_unlearned_languages(spark):
+    import corpus_pipeline
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 300").select("doc_id", "text", "lang", "source", "n_chars").collect()
+    rng = random.Random(2)
+    learned = [r for r in rows if r["lang"] != "es"]
+    foreign = [(10**6 + i, r["text"], None, "a", 0) for i, r in enumerate(x for x in rows if x["lang"] == "es")]
+    letters = ["bcdfghjklmnpqrstvwxz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуф"]
+    junk = [(2 * 10**6 + i, " ".join("".join(rng.choice(letters[i % 3]) for _ in range(rng.randint(2, 9))) for _ in range(50)), None, "a", 0) for i in range(90)]
+    docs = spark.createDataFrame([tuple(r) for r in learned] + foreign + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert len(got & {r["doc_id"] for r in learned}) >= 0.99 * len(learned)
+    assert not got & {r[0] for r in junk}
+    assert len(foreign) > 30 and len(got & {r[0] for r in foreign}) <= 0.1 * len(foreign)
