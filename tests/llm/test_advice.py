@@ -65,3 +65,27 @@ def test_the_stage_drops_junk_and_unlearned_languages(spark):
     assert len(got & {r["doc_id"] for r in learned}) >= 0.99 * len(learned)
     assert not got & {r[0] for r in junk}
     assert len(foreign) > 30 and len(got & {r[0] for r in foreign}) <= 0.1 * len(foreign)
+
+
+def test_sequences_follow_the_mix_over_many_files(spark, tmp_path):
+    import corpus_pipeline
+    from docframe.llm import mixing
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(word(rng) for _ in range(150)), "en", "hot" if i % 4 else f"s{i % 3}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    place = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    rows.sort(key=lambda r: place[r[0]])
+    # files of the mix that grow: a scan takes the last first
+    at, files = 0, 0
+    while at < len(rows):
+        spark.createDataFrame(rows[at : at + 10 * (files + 1)], docs.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/mixed")
+        at, files = at + 10 * (files + 1), files + 1
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").where(F.col("sequence_id") < 1 << 56).collect()
+    parts = {}
+    for r in packed:
+        parts.setdefault(r["sequence_id"] >> 32, []).append(place[r["doc_id"]])
+    order = [parts[k] for k in sorted(parts)]
+    assert files > 8 and all(max(a) < min(b) for a, b in zip(order, order[1:]))
+    first = [place[r["doc_id"]] for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"]))][: len(packed) // 5]
+    assert max(first) < len(rows) // 2
