@@ -89,3 +89,10 @@ def test_sequences_follow_the_mix_over_many_files(spark, tmp_path):
     assert files > 8 and all(max(a) < min(b) for a, b in zip(order, order[1:]))
     first = [place[r["doc_id"]] for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"]))][: len(packed) // 5]
     assert max(first) < len(rows) // 2
+
+
+def test_count_has_no_cap(spark, tmp_path):
+    from docframe import queries
+
+    spark.range(100_300).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert queries.queries()["count"](spark, str(tmp_path)).first()["n"] == 100_293
