@@ -40,9 +40,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage without holding executor memory; the files survive lost executors.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder's name in the shared folder; it is deleted when the driver ends."""
+    path = f"{scratch_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot if more than one of so many rows has it, so there are at most as many hot keys.
+HOT = 1000
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup``, which has each key once; null keys match nothing.
+
+    Hot keys of ``rows`` are looked up by a broadcast of their HOT entries at most; rows of other
+    keys are shuffled, and none of these keys has more than one in HOT of them.  ``rows`` is read
+    three times and should be a table.
+    """
+    least = rows.count() / HOT
+    there = F.lit(True)
+    for k in on:
+        there = there & F.col(k).isNotNull()
+    hot = rows.where(there).groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*on)
+    found = hot.collect()
+    if not found:
+        return rows.join(lookup, on, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    few = F.broadcast(lookup.join(hot, on, "left_semi"))
+    return rows.join(hot, on, "left_semi").join(few, on, how).unionByName(rows.join(hot, on, "left_anti").join(lookup, on, how))
 
 
 #: Bytes of an Arrow batch sent to a worker: texts can be long, and a batch is held several times over.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache, scratch_dir, small_batches
+from .common import join_lookup, materialize, process_cache, scratch_path, small_batches
 
 SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Segments that one worker remembers; the memory is emptied when full.
@@ -124,9 +124,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(cache)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
             known = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    folder = cache or f"{scratch_dir(spark)}/docframe/token-cache-{version[:12]}-{id(rows)}-{spark.sparkContext.applicationId}"
+    folder = cache or scratch_path(spark, f"token-cache-{version[:12]}")
 
-    # one row number per row stands for it: ids may repeat or be null
     digests = materialize(rows.select("doc_id", "content", F.length(F.col("text").cast("binary")).cast("long").alias("n_bytes")), "digests")
     wanted = digests.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     if known is not None:
@@ -138,4 +137,5 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
     stored = spark.read.schema(SCHEMA).parquet(folder).where(F.col("tokenizer") == version)
     stored = stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return digests.join(stored, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # one content may be that of a third of all rows
+    return join_lookup(digests, stored, ["content"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
