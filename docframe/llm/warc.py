@@ -17,16 +17,18 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, small_batches
+from .common import join_lookup, materialize, scratch_path, small_batches
 
 #: Payloads below this many bytes are always stored in full.
 REVISIT_BYTES = 1000
 #: A new archive begins when one holds this many bytes of records.
 ARCHIVE_BYTES = 64 << 20
 LEVEL, BLOCK = 3, 1 << 18
+#: Most tasks among which the archives are dealt.
+TASKS = 20_000
 _GZIP = 16 + zlib.MAX_WBITS
 
 
@@ -82,29 +84,54 @@ def split_records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not headers.get("content-length", "").isdecimal():
+            raise ValueError(f"a WARC record without a length: {lines[0]!r}")
         end = at + 4 + int(headers["content-length"]) + 4
         while len(held) < end:
             if not more():
                 raise ValueError("a WARC record is cut off in its body")
         whole = bytes(held[:end])
+        if whole[-4:] != b"\r\n\r\n":
+            raise ValueError("a WARC record does not end where its length says")
         del held[:end]
         yield headers, whole[at + 4 : -4], whole
 
 
 def inflate(file: BinaryIO) -> Iterator[bytes]:
-    """The bytes of a gzip file, of one member or many, block by block."""
-    machine = zlib.decompressobj(_GZIP)
+    """The bytes of a gzip file, of one member or many, block by block.
+
+    Zero bytes behind the last member are padding.  Raises ValueError if the last member does not
+    end, its checksum included, or if anything else stands behind it.
+    """
+    machine, ended, members = zlib.decompressobj(_GZIP), True, 0
     while data := file.read(BLOCK):
         while data:
-            out = machine.decompress(data, BLOCK)
+            if ended:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                machine, ended, members = zlib.decompressobj(_GZIP), False, members + 1
+            try:
+                out = machine.decompress(data, BLOCK)
+            except zlib.error as e:
+                raise ValueError(f"not a gzip stream: {e}") from e
             if out:
                 yield out
-            data = machine.unconsumed_tail
-            if machine.eof:
-                data = machine.unused_data
-                machine = zlib.decompressobj(_GZIP)
-    if tail := machine.flush():
-        yield tail
+            ended = machine.eof
+            data = machine.unused_data if ended else machine.unconsumed_tail
+    # what the machine still holds comes with no more input
+    while not ended:
+        try:
+            out = machine.decompress(machine.unconsumed_tail, BLOCK)
+        except zlib.error as e:
+            raise ValueError(f"not a gzip stream: {e}") from e
+        if out:
+            yield out
+        ended = machine.eof
+        if not out and not ended:
+            raise ValueError("the gzip stream is cut off")
+    if not members:
+        raise ValueError("no gzip stream")
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -235,16 +262,27 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Decide response or revisit for every page (page_id, url, html).
 
     Of the pages with equal payloads of at least ``least`` bytes the one with the largest page_id
-    is the response.  Null html is an empty payload.  Pages with a null id are responses.  If rows
-    repeat the largest page_id itself, each of them is a response.
+    is the response and all others revisit it, those without an id too; if none has an id, all are
+    responses.  If rows repeat the largest page_id, the one of the least url (null first) is the
+    response.  Null html is an empty payload.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    large = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_bytes", "payload_digest")
-    firsts = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = ["payload_digest", "payload_bytes"]
     # ids and digests only are dealt by digest; payloads move once, to their page's revisit
-    revisits = large.join(firsts, ["payload_digest", "payload_bytes"]).where("page_id < response").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("response").alias("refers_to")).distinct()
-    out = rows.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
+    large = materialize(rows.where(F.col("payload_bytes") >= least).select("page_id", *same), "digests")
+    ids = large.groupBy(*same, "page_id").agg(F.count("*").alias("n"))
+    firsts = ids.groupBy(*same).agg(F.max("page_id").alias("response"), F.max_by("n", "page_id").alias("copies"), F.sum("n").alias("n")).where("n > 1 and response is not null").select(*same, "response", "copies")
+    firsts = materialize(firsts, "firsts")
+    named = join_lookup(large, firsts, same)
+    own = F.col("page_id").eqNullSafe(F.col("response"))
+    revisits = named.where(~own | (F.col("copies") > 1)).select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("response").alias("refers_to"), own.alias("tied")).distinct()
+    out = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
+    if not firsts.where("copies > 1").isEmpty():
+        tied = F.coalesce("tied", F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("d", "p").orderBy(F.col("url").asc_nulls_first()))
+        numbered = out.where(tied).withColumn("nth", nth).withColumn("refers_to", F.when(F.col("nth") > 1, F.col("refers_to"))).drop("nth")
+        out = out.where(~tied).unionByName(numbered)
     revisit = F.col("refers_to").isNotNull()
     return out.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "refers_to", revisit.alias("revisit"))
 
@@ -259,8 +297,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     small_batches(spark)
-    folder = folder or f"{scratch_dir(spark)}/docframe/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch_path(spark, "warc")
     written = materialize(write_archives(plan_records(pages), f"{folder}/monolithic"), "archives")
-    n = max(1, written.count())
+    # a task takes several archives one after the other where there are more of them than TASKS
+    n = max(1, min(TASKS, written.count()))
     normal = materialize(normalise(written.repartition(n, "archive"), f"{folder}/normal"), "archives")
     return read_archives(normal.repartition(n, "archive"))
