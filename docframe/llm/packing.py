@@ -9,6 +9,7 @@ again in the same way, over and over, until one task holds the last.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -39,14 +40,27 @@ MARKS = "('s|'t|'re|'ve|'m|'ll|'d|\\p{N}|[^\\x09-\\x0d\\x20\\p{L}\\p{N}]+)"
 #: the special strings.
 ODD = "[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\x{12f}\\x{131}-\\x{24f}]|<\\|"
 
+#: What a tokenizer's file says of the steps that TextIds takes apart; fixed values.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
 
 class TextIds:
     """Token ids of texts by a memory of the pieces that the tokenizer cuts them into.
 
-    The tokenizer lower-cases, drops white space and never joins across the matches of its
-    pattern, so a text's ids are those of the matches, one after the other.  Spaces around MARKS
-    part the matches of most texts.  Texts with ODD parts are cut at ASCII white space, and their
-    words are encoded whole.
+    A tokenizer of the shape of WORD_STEPS lower-cases, drops white space and never joins across
+    the matches of its pattern, so a text's ids are those of the matches, one after the other.
+    Spaces around MARKS part the matches of most texts.  Texts with ODD parts are cut at ASCII
+    white space, and their words are encoded whole.  Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -58,6 +72,12 @@ class TextIds:
         self.model.no_padding()
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        kind = {k: v for k, v in known["model"].items() if k not in ("vocab", "merges")}
+        self.whole = {"normalizer": known.get("normalizer"), "pre_tokenizer": known.get("pre_tokenizer"), "model": kind} != WORD_STEPS or any(
+            x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or not x["content"].startswith("<|") for x in known.get("added_tokens") or []
+        )
         vocabulary = self.model.get_vocab()
         # the last id of a match ends a word
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -111,6 +131,9 @@ class TextIds:
     def documents(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids, then END, as little-endian unsigned 32-bit bytes."""
         texts = pc.fill_null(texts, "")
+        if self.whole:
+            end = np.array([END], "<u4").tobytes()
+            return [x + end for x in self._encode(texts.to_pylist())]
         odd = pc.match_substring_regex(texts, ODD)
         if not pc.any(odd).as_py():
             return self._ids(texts, False)

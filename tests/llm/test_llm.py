@@ -416,19 +416,40 @@ def test_packing_of_odd_rows(spark, monkeypatch):
     assert packing.pack_documents(empty(spark), path).collect() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_knows_which_tokenizers_it_can_take_apart(spark, sf, name):
+    path = tokenizer_path(name)
+    assert packing.TextIds(path).whole == (name != "word_bpe_49k.json")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + [(r[0] and r[0] + 10**9, *r[1:2]) for r in ODD if r[0] != 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_packed(packing.pack_documents(docs, path).collect(), rows, path)
+
+
+def test_packing_sees_a_changed_tokenizer(tmp_path):
+    import json
+
+    conf = json.load(open(tokenizer_path("word_bpe_49k.json")))
+    conf["normalizer"]["normalizers"].pop()
+    (tmp_path / "t.json").write_text(json.dumps(conf))
+    assert packing.TextIds(str(tmp_path / "t.json")).whole
+
+
 # ---- WARC
 
 
 def test_archives_round_trip(spark, tmp_path):
     big = "x" * 1000
     rows = [(1, "http://a/\r\nX: y", "small"), (2, None, None), (3, "http://b", big), (9, "http://c", big), (5, "http://d", big), (5, "http://d", big), (None, "http://e", big), (6, "u", "é" * 500), (7, "u", "é" * 500), (8, "u", "small"), (10, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 99)]
+    rows += [(20, "z", "n" * 1000), (20, None, "n" * 1000), (20, "y", "n" * 1000), (None, "u", "n" * 1000), (None, "u", "m" * 1000), (None, "u", "m" * 1000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("revisit", F.lit("clash")).repartition(3)
     got = warc.archive_pages(pages, f"file://{tmp_path}/w").collect()
-    want = Counter()
+    want, first = Counter(), set()
     for page, _, html in rows:
         data = (html or "").encode()
         same = [p for p, _, h in rows if p is not None and (h or "") == (html or "")]
-        again = len(data) >= 1000 and page is not None and page < max(same)
+        again = len(data) >= 1000 and bool(same) and (page != max(same) or html in first)
+        if same and page == max(same):
+            first.add(html)
         want[page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", max(same) if again else None] += 1
     assert Counter(tuple(r) for r in got) == want
     assert warc.archive_pages(pages.where("false")).collect() == []
@@ -452,6 +473,37 @@ def test_normaliser_takes_one_member_or_many(tmp_path):
         warc.normalise_file(f"file://{tmp_path}/cut", f"file://{tmp_path}/out")
 
 
+def test_every_cut_of_an_archive_raises(tmp_path):
+    import gzip
+    import zlib as z
+
+    payloads = [b"one", b"two " * 300, b"three"]
+    records = [warc.record_bytes(i, "u", p, len(p), hashlib.sha1(p).hexdigest(), None, False) for i, p in enumerate(payloads)]
+    # blocks of the stream end between records, so many cuts leave whole records
+    machine = z.compressobj(6, wbits=31)
+    data = b"".join(machine.compress(r) + machine.flush(z.Z_FULL_FLUSH) for r in records) + machine.flush()
+    at = tmp_path / "a"
+    for n in range(len(data)):
+        at.write_bytes(data[:n])
+        with pytest.raises(ValueError):
+            warc.normalise_file(f"file://{at}", f"file://{tmp_path}/out")
+    for padded in (data + b"\0" * 700, data + b"\0\0" + gzip.compress(records[0]) + b"\0"):
+        at.write_bytes(padded)
+        assert warc.normalise_file(f"file://{at}", f"file://{tmp_path}/out")[2] in (3, 4)
+    at.write_bytes(data + b"junk")
+    with pytest.raises(ValueError):
+        warc.normalise_file(f"file://{at}", f"file://{tmp_path}/out")
+    assert gzip.decompress(data) == b"".join(records)
+
+
+def test_inflating_holds_a_block(tmp_path):
+    import gzip
+    import io
+
+    out = list(warc.inflate(io.BytesIO(gzip.compress(b"\0" * (40 << 20)))))
+    assert sum(map(len, out)) == 40 << 20 and max(map(len, out)) <= warc.BLOCK
+
+
 # ---- token counts
 
 
@@ -485,6 +537,16 @@ def test_cache_encodes_only_what_it_lacks(spark, tmp_path, monkeypatch):
     assert asked == [0, 1] and spark.read.parquet(cache).count() == stored + 1
 
 
+def test_hot_keys_are_looked_up_whole(spark, monkeypatch):
+    from docframe.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = spark.createDataFrame([("hot" if i % 2 else f"k{i}", None if i % 7 == 0 else i, i) for i in range(200)] + [(None, 1, 1000)], "a string, b long, n long")
+    lookup = rows.select("a").distinct().where("a is null or a <> 'k4'").withColumn("v", F.length("a"))
+    for how in ("inner", "left"):
+        assert rows_of(common.join_lookup(rows, lookup, ["a"], how)) == rows_of(rows.join(lookup, ["a"], how))
+
+
 # ---- pipeline
 
 
