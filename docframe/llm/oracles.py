@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import fingerprints as fp
+from . import mixing as mx
 from . import quality_rules as qr
 
 _WS = "'[\\x20\\x09-\\x0D]+'"
@@ -150,6 +151,39 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
+#: One step of ``walk`` is a slot; sources are numbered from 1 in the order of their keys.
+OP5 = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key, md5('5:' || coalesce(doc_id::VARCHAR, '')) AS hash FROM documents
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY hash, doc_id) - 1 AS rank, dense_rank() OVER (ORDER BY key) AS k FROM base),
+sizes AS (SELECT list(n ORDER BY key) AS total, list(sqrt(n) ORDER BY key) AS roots FROM (SELECT key, count(*) AS n FROM base GROUP BY key)),
+raised AS (SELECT *, greatest({mx.PRECISION}, 8 * len(total)) AS p, list_transform(roots, lambda x: greatest(x, list_sum(roots) / greatest({mx.PRECISION}, 8 * len(total)))) AS weights FROM sizes),
+plan AS (
+  SELECT total, list_transform(weights, lambda x: round(x / list_sum(weights) * p)::BIGINT) AS parts, range(1, len(total) + 1) AS idx, list_sum(total)::BIGINT AS n FROM raised
+),
+walk AS (
+  SELECT -1::BIGINT AS slot, -1::BIGINT AS phase, 0::BIGINT AS began, list_transform(idx, lambda x: 0::BIGINT) AS cnt, list_transform(idx, lambda x: 0::BIGINT) AS done,
+         true AS ended, 0::BIGINT AS k, 0::BIGINT AS block, 0::BIGINT AS release, 0::BIGINT AS deadline FROM plan
+  UNION ALL
+  SELECT slot, phase, began, list_transform(idx, lambda x: cnt[x] + (x = k)::BIGINT), list_transform(idx, lambda x: done[x] + (x = k)::BIGINT),
+         done[k] + 1 = total[k], k, done[k], began + cnt[k] * whole // parts[k], began + ((cnt[k] + 1) * whole + parts[k] - 1) // parts[k]
+  FROM (
+    SELECT *, list_min(list_transform(
+        list_filter(idx, lambda x: done[x] < total[x] AND cnt[x] * whole // parts[x] <= slot - began),
+        lambda x: ((cnt[x] + 1) * whole + parts[x] - 1) // parts[x] * 1000000 + x)) % 1000000 AS k
+    FROM (
+      SELECT w.slot + 1 AS slot, w.phase + w.ended::BIGINT AS phase, CASE WHEN w.ended THEN w.slot + 1 ELSE w.began END AS began,
+             CASE WHEN w.ended THEN list_transform(idx, lambda x: 0::BIGINT) ELSE w.cnt END AS cnt, w.done, total, parts, idx,
+             list_sum(list_transform(idx, lambda x: CASE WHEN w.done[x] < total[x] THEN parts[x] ELSE 0 END))::BIGINT AS whole
+      FROM walk w, plan WHERE w.slot + 1 < n
+    )
+  )
+)
+SELECT doc_id, source, block, phase, slot, release, deadline, slot AS position
+FROM ranked r JOIN walk w ON w.k = r.k AND w.block = r.rank
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_document_fingerprints": OP1, "op2_quality_rules": OP2, "op9_warc_normaliser": OP9}
+    return {"op1_document_fingerprints": OP1, "op2_quality_rules": OP2, "op5_source_mixing": OP5, "op9_warc_normaliser": OP9}

@@ -287,22 +287,66 @@ def test_base_scores_and_probabilities(spark, monkeypatch):
 # ---- mixing
 
 
+def scheduled(blocks, parts):
+    """(source, block, phase, slot, release, deadline), one slot after the other."""
+    left, done, out, phase = list(blocks), [0] * len(blocks), [], 0
+    while any(left):
+        active = [i for i, n in enumerate(left) if n]
+        whole, began, count = sum(parts[i] for i in active), len(out), dict.fromkeys(active, 0)
+        while all(left[i] for i in active):
+            now = len(out) - began
+            times = {i: (count[i] * whole // parts[i], -(-(count[i] + 1) * whole // parts[i])) for i in active}
+            i = min((i for i in active if times[i][0] <= now), key=lambda i: (times[i][1], i))
+            out.append((i, done[i], phase, len(out), began + times[i][0], began + times[i][1]))
+            count[i] += 1
+            done[i] += 1
+            left[i] -= 1
+        phase += 1
+    return out
+
+
 def test_schedule_deviates_by_less_than_one_block():
     blocks, weights = [400, 90, 300, 5], [0.5, 0.3, 0.19, 0.01]
-    plan = mixing.schedule(blocks, weights)
-    assert Counter(s.source for s in plan) == dict(enumerate(blocks)) and [s.slot for s in plan] == list(range(sum(blocks)))
-    assert all(s.release <= s.slot < s.deadline for s in plan)
+    parts = mixing.whole_parts(weights, 100)
+    plan = scheduled(blocks, parts)
+    assert parts == [50, 30, 19, 1] and all(r <= slot < d for _, _, _, slot, r, d in plan)
     count = [0] * 4
-    for t, s in enumerate(x for x in plan if x.phase == 0):
-        count[s.source] += 1
-        assert all(abs(count[i] - weights[i] * (t + 1)) < 1 + 1e-3 for i in range(4))
-    with pytest.raises(ValueError):
-        mixing.schedule([1, 1], [1.0, 0.0])
+    for t, x in enumerate(x for x in plan if x[2] == 0):
+        count[x[0]] += 1
+        assert all(abs(count[i] - weights[i] * (t + 1)) < 1 for i in range(4))
+    found = mixing.schedule(blocks, parts)
+    assert [sum(p.took.values()) for p in found] == [sum(x[2] == n for x in plan) for n in range(len(found))]
+    for weights in ([1.0, 0.0], [1.0, -1.0], [1.0, math.inf], [1.0, 1e-9]):
+        with pytest.raises(ValueError):
+            mixing.whole_parts(weights)
+
+
+@pytest.mark.parametrize("block,precision", [(1, 64), (1, 16_384), (3, 64), (7, 11), (1000, 64)])
+def test_mix_equals_the_schedule_by_hand(spark, block, precision):
+    rows = [(i, "x", "en", "hot" if i % 3 else f"s{i % 5}") for i in range(400)] + [(None, "x", "en", None), (500, "", "de", None), (-7, None, None, "s1")]
+    got = {(r["doc_id"], r["source"]): tuple(r)[2:] for r in mixing.mix(docs_of(spark, rows), block=block, precision=precision).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append(r[0])
+    key = lambda s: "n" if s is None else "s" + s
+    order = sorted(by, key=key)
+    for ids in by.values():
+        ids.sort(key=lambda i: (hashlib.md5(f"5:{'' if i is None else i}".encode()).hexdigest(), i or 0))
+    precision = max(precision, 8 * len(order))
+    sizes = [len(by[s]) ** 0.5 for s in order]
+    sizes = [max(x, sum(sizes) / precision) for x in sizes]
+    plan = scheduled([-(-len(by[s]) // block) for s in order], mixing.whole_parts(sizes, precision))
+    want, position = {}, 0
+    for source, j, phase, slot, release, deadline in plan:
+        for i in by[order[source]][j * block : (j + 1) * block]:
+            want[i, order[source]] = (j, phase, slot, release, deadline, position)
+            position += 1
+    assert got == want
 
 
 def test_mix_places_every_row_once(spark):
     rows = [(i, "x", "en", "hot" if i % 3 else f"s{i % 7}") for i in range(500)] + ODD
-    got = mixing.mix(docs_of(spark, rows), blocks=50).collect()
+    got = mixing.mix(docs_of(spark, rows), block=10).collect()
     assert sorted(r["position"] for r in got) == list(range(len(rows)))
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r[0], r[3]) for r in rows)
     by_slot = {}
