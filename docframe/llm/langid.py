@@ -3,8 +3,9 @@
 The kernel of two texts is the number of different n-grams of 1 to ``LONGEST`` characters that
 both have, divided by the root of the product of their numbers of n-grams (a blended spectrum of
 presences).  Landmark texts span the feature space (Nyström); kernel ridge regression of one
-language against the rest is solved in it.  A batch of texts is scored as a matrix product of
-its presences with the landmarks' presences.
+language against the rest is solved in it.  A text's n-grams that no landmark has add nothing to a
+kernel but to the text's norm, so a batch is scored as the product of its (sparse) presences with
+one matrix, n-grams of the landmarks x languages.
 """
 
 from __future__ import annotations
@@ -14,19 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod, small_batches, stable_fraction
+from .common import crc_mod, small_batches
 
 LONGEST = 3
-#: Bounds of the labelled sample: rows of each language, languages, and landmarks among the rows.
-ROWS_PER_LANGUAGE, LANGUAGES, LANDMARKS_PER_LANGUAGE = 400, 200, 32
-#: Characters that keep a code of their own; all others share one.
-ALPHABET = 254
-#: n-grams in the inventory, the ones that most landmarks have.
-INVENTORY = 16_384
+#: Bounds of the labelled sample, for each language and for all of them together.  Every language has
+#: LEAST_ROWS and LEAST_LANDMARKS, however many there are, if it has so many rows.
+ROWS_PER_LANGUAGE, ALL_ROWS, LEAST_ROWS = 400, 20_000, 8
+LANDMARKS_PER_LANGUAGE, ALL_LANDMARKS, LEAST_LANDMARKS = 32, 512, 2
+#: Longer texts, in characters, are not learned from.
+LONGEST_LEARNED = 200_000
 RIDGE = 1e-3
 #: Characters of texts that are worked on together (a longer text alone).
 BATCH_CHARS, BATCH_TEXTS = 1 << 20, 256
@@ -34,150 +35,140 @@ BATCH_CHARS, BATCH_TEXTS = 1 << 20, 256
 #: beside the landmarks have less: the share that all but 1 in 100 of them reach, less SHARE_SLACK.
 LEAST_SHARE, SHARE_SLACK, SHARE_ROWS = 0.75, 0.05, 20
 UNKNOWN = "und"
+#: Bits of a character in an n-gram's number: a code point and one more.
+_BITS = 21
 
 
-def _codes(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """Small codes of the characters: 0 for white space, controls and digits, 255 for the rare."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return alphabet[np.minimum(points, len(alphabet) - 1)]
+def _gaps() -> np.ndarray:
+    out = np.zeros(0x3001, bool)
+    for i in range(0x3001):
+        out[i] = chr(i).isspace() or chr(i).isdigit() or i < 32
+    return out
 
 
-def _grams(codes: np.ndarray) -> list[np.ndarray]:
-    """Codes of the n-grams of 1 to LONGEST characters; n-grams of two or more neighbouring gaps drop out."""
-    out, c = [], codes.astype(np.int32)
-    mixed = c
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            mixed = (mixed[:-1] << 8) | c[n - 1 :]
-        out.append(mixed + (n - 1 << 24))
-    return out
+_GAP = _gaps()
 
 
-def make_alphabet(texts: list[str]) -> np.ndarray:
-    """code by code point, from the characters of the sample by how many texts have them."""
-    seen: dict[str, int] = {}
-    for text in texts:
-        for c in set(text.lower()):
-            seen[c] = seen.get(c, 0) + 1
-    best = sorted((c for c in seen if c.isalpha() or not (c.isspace() or c.isdigit() or ord(c) < 32)), key=lambda c: (-seen[c], c))[:ALPHABET]
-    out = np.full(max([0x3000, *map(ord, best)]) + 2, 255, np.uint8)
-    for i in range(0x3000):
-        if chr(i).isspace() or chr(i).isdigit() or i < 32:
-            out[i] = 0
-    for code, c in enumerate(best, 1):
-        out[ord(c)] = code
-    return out
+def _codes(text: str) -> np.ndarray:
+    """Code points of the lower-case text plus one; a run of white space, controls and digits is one gap of code 1."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    gap = _GAP[np.minimum(points, 0x2FFF)] & (points < 0x3001)
+    codes = np.where(gap, 1, points + 1)
+    keep = np.ones(len(codes), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    return codes[keep]
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The different n-grams of 1 to LONGEST characters of a text, as ascending numbers; equal numbers are equal n-grams."""
+    c = _codes(text or "")
+    out, mixed = [c], c
+    for n in range(1, LONGEST):
+        mixed = (mixed[:-1] << _BITS) | c[n:]
+        out.append(mixed)
+    every = np.sort(np.concatenate(out))
+    return every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray
-    inventory: np.ndarray  # sorted codes of n-grams
-    landmarks: np.ndarray  # float32, n-grams x landmarks, divided by the landmarks' norms
-    weights: np.ndarray  # landmarks x languages
+    inventory: np.ndarray  # the landmarks' n-grams, ascending
+    weights: np.ndarray  # float32, n-grams x languages: the landmarks' presences by their norms, times their weights
     least_shares: np.ndarray | None = None  # by language: the share of known n-grams that its texts have at least
 
-    def presences(self, texts: list[str]) -> np.ndarray:
-        """float32, texts x inventory: 1 where the text has the n-gram.  Rows are divided by their norms."""
-        tables = self._table()
-        out = np.zeros((len(texts), len(self.inventory) + 1), np.float32)
-        for row, text in zip(out, texts):
-            for places, grams in zip(tables, _grams(_codes(text, self.alphabet))):
-                row[places[grams & 0xFFFFFF]] = 1
-        out = out[:, :-1]
-        norms = np.sqrt(out.sum(axis=1, keepdims=True))
-        return out / np.maximum(norms, 1)
-
-    def shares(self, texts: list[str | None]) -> np.ndarray:
-        """The share of each text's different n-grams that the inventory has; it falls for foreign text."""
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            known = every = 0
-            for places, grams in zip(self._table(), _grams(_codes(text or "", self.alphabet))):
-                different = np.unique(grams & 0xFFFFFF)
-                every += len(different)
-                known += int((places[different] < len(self.inventory)).sum())
-            out[i] = known / max(every, 1)
-        return out
-
-    def fits(self, texts: list[str | None], langs: list[str]) -> list[bool]:
-        """Is each text of the language predicted for it, by its share of known n-grams?  False for UNKNOWN."""
-        least = dict(zip(self.languages, self.least_shares if self.least_shares is not None else []))
-        real = [i for i, lang in enumerate(langs) if lang in least]
-        out = [False] * len(texts)
-        for i, share in zip(real, self.shares([texts[i] for i in real])):
-            out[i] = bool(share >= least[langs[i]])
-        return out
-
-    def _table(self) -> list[np.ndarray]:
-        """For n-grams of each length, the place of a code in the inventory; the last place for the others."""
-        if not hasattr(self, "_places"):
-            self._places = []
-            for n in range(LONGEST):
-                places = np.full(1 << 8 * (n + 1), len(self.inventory), np.uint16)
-                own = np.flatnonzero(self.inventory >> 24 == n)
-                places[self.inventory[own] & 0xFFFFFF] = own
-                self._places.append(places)
-        return self._places
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_places"}
-
-    def decide(self, texts: list[str]) -> np.ndarray:
-        """texts x languages: regression towards 1 for a text's language and -1 for others."""
-        return (self.presences(texts) @ self.landmarks) @ self.weights
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text: UNKNOWN and 0 for null and for texts without a letter.
+    def _places(self, found: np.ndarray) -> np.ndarray:
+        """Places in the inventory of those n-grams that it has."""
+        if not len(self.inventory):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.inventory, found), len(self.inventory) - 1)
+        return at[self.inventory[at] == found]
+
+    def decide(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """texts x languages: regression towards 1 for a text's language and -1 for others; and the
+        share of each text's different n-grams that the inventory has, which falls for foreign text."""
+        every = [grams(x) for x in texts]
+        known = [self._places(x) for x in every]
+        sizes = np.array(list(map(len, every)))
+        have = np.array(list(map(len, known)))
+        out = np.zeros((len(texts), len(self.languages)))
+        some = np.flatnonzero(have)
+        if len(some):
+            # the rows of a sparse matrix of presences times the weights
+            out[some] = np.add.reduceat(self.weights[np.concatenate(known)], (np.cumsum(have) - have)[some], axis=0, dtype=np.float64)
+        return out / np.sqrt(np.maximum(sizes, 1))[:, None], have / np.maximum(sizes, 1)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether it fits the language by its share of known
+        n-grams: UNKNOWN, 0 and False for null and for texts without a letter.
 
         The score is the regression of the best language, mapped from -1..1 to 0..1.
         """
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        langs, scores, fits = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         real = [i for i, x in enumerate(texts) if x and any(map(str.isalpha, x))]
         if not self.languages:
-            return langs, scores
+            return langs, scores, fits
         start = 0
         while start < len(real):
             end, chars = start, 0
             while end < len(real) and (end == start or (end - start < BATCH_TEXTS and chars < BATCH_CHARS)):
                 chars += len(texts[real[end]])
                 end += 1
-            values = self.decide([texts[i] for i in real[start:end]])
+            values, shares = self.decide([texts[i] for i in real[start:end]])
             best = values.argmax(axis=1)
-            for i, b, v in zip(real[start:end], best, values):
+            for i, b, v, share in zip(real[start:end], best, values, shares):
                 langs[i], scores[i] = self.languages[b], float(np.clip((v[b] + 1) / 2, 0, 1))
+                fits[i] = bool(share >= self.least_shares[b])
             start = end
-        return langs, scores
+        return langs, scores, fits
+
+
+def _shared(bound: int, least: int, every: int, languages: int) -> int:
+    """Of ``every`` in all, what one of so many languages may have: at most ``bound``, at least ``least``."""
+    return max(least, min(bound, every // max(1, languages)))
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
-    """Train on (text, language), in the order given (the first rows of a language are its landmarks)."""
+    """Train on (text, language), in the order given (the first rows of a language are its landmarks).
+
+    Without a text that has a letter the model has no language.
+    """
     rows = [(x, lang) for x, lang in rows if x and any(map(str.isalpha, x))]
     languages = sorted({lang for _, lang in rows})
     if not rows:
-        return Model([], np.zeros(1, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
-    alphabet = make_alphabet([x for x, _ in rows])
-    marks = [x for lang in languages for x, _ in [r for r in rows if r[1] == lang][:LANDMARKS_PER_LANGUAGE]]
-    every = [np.unique(np.concatenate(_grams(_codes(x, alphabet)))) for x in marks]
-    grams, texts = np.unique(np.concatenate(every), return_counts=True)
-    inventory = np.sort(grams[np.lexsort((grams, -texts))][:INVENTORY])
-    model = Model(languages, alphabet, inventory.astype(np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
-    model.landmarks = np.ascontiguousarray(model.presences(marks).T)
-    inner = (model.landmarks.T @ model.landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh(inner)
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
+    most = _shared(LANDMARKS_PER_LANGUAGE, LEAST_LANDMARKS, ALL_LANDMARKS, len(languages))
+    by: dict[str, list[np.ndarray]] = {x: [] for x in languages}
+    for x, lang in rows:
+        by[lang].append(grams(x))
+    marks = [x for lang in languages for x in by[lang][:most]]
+    places, of_mark = np.concatenate(marks), np.repeat(np.arange(len(marks)), list(map(len, marks)))
+    by_gram = np.argsort(places, kind="stable")
+    inventory, begins = np.unique(places[by_gram], return_index=True)
+    of_mark = of_mark[by_gram]
+    stops = np.append(begins[1:], len(of_mark))
+    norms = np.sqrt(np.array(list(map(len, marks))))
+    probe = Model(languages, inventory, np.zeros((0, 0), np.float32))
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        at = probe._places(x)
+        hits = np.concatenate([of_mark[begins[i] : stops[i]] for i in at]) if len(at) else np.zeros(0, np.int64)
+        return np.bincount(hits, minlength=len(marks)) / (norms * np.sqrt(max(1, len(x))))
+
+    inner = np.array([kernel(x) for x in marks])
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm^(-1/2)
-    kernel = np.concatenate([model.presences([x for x, _ in rows[i : i + BATCH_TEXTS]]) @ model.landmarks for i in range(0, len(rows), BATCH_TEXTS)])
-    features = kernel.astype(np.float64) @ root
-    target = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in rows])
+    features = np.array([kernel(x) for lang in languages for x in by[lang]]) @ root
+    target = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang in languages for _ in by[lang]])
     # languages weigh alike, however many rows each has
-    count = {x: sum(lang == x for _, lang in rows) for x in languages}
-    weight = np.array([1.0 / count[lang] for _, lang in rows])[:, None]
+    weight = np.array([1.0 / len(by[lang]) for lang in languages for _ in by[lang]])[:, None]
     left = features.T @ (weight * features) + RIDGE * np.eye(features.shape[1])
-    model.weights = (root @ np.linalg.solve(left, features.T @ (weight * target))).astype(np.float32)
+    of_landmark = (root @ np.linalg.solve(left, features.T @ (weight * target))) / norms[:, None]
+    weights = np.add.reduceat(of_landmark[of_mark], begins, axis=0).astype(np.float32)
+    model = Model(languages, inventory, weights)
     # the inventory comes from the landmarks alone, so the other rows are held out from it
-    own = [model.shares([x for x, lang in rows if lang == name][LANDMARKS_PER_LANGUAGE:]) for name in languages]
+    own = [np.array([len(model._places(x)) / len(x) for x in by[name][most:]]) for name in languages]
     pool = np.concatenate(own)
     reached = [x if len(x) >= SHARE_ROWS else pool for x in own]
     model.least_shares = np.array([min(LEAST_SHARE, np.quantile(x, 0.01) - SHARE_SLACK) if len(x) >= SHARE_ROWS else 0.0 for x in reached])
@@ -185,28 +176,25 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def training_rows(labelled: DataFrame) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang) for ``fit``: about ROWS_PER_LANGUAGE rows of each language.
+    """A bounded sample of (text, lang) for ``fit``: of every language the rows of the least hashes
+    of doc_id and text, ROWS_PER_LANGUAGE of them at most and ALL_ROWS in all (but LEAST_ROWS of each).
 
-    Chosen by a hash of the text and id, so equal inputs give equal samples.  The rarest languages
-    beyond LANGUAGES aren't learned.
+    Texts of more than LONGEST_LEARNED characters are passed over.  Equal inputs give equal samples.
     """
-    counts = labelled.where("text is not null and lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chosen = F.lit(False)
-    for lang, n in counts:
-        share = min(1.0, 1.2 * ROWS_PER_LANGUAGE / n)
-        chosen = chosen | ((F.col("lang") == lang) & stable_fraction(F.col("doc_id"), share, 6))
-    rows = labelled.where("text is not null and lang is not null").where(chosen).select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h")).collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))
-    out: list[tuple[str, str]] = []
-    for lang, _ in counts:
-        out += [(r["text"], lang) for r in rows if r["lang"] == lang][:ROWS_PER_LANGUAGE]
-    return out
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST_LEARNED))
+    languages = rows.select("lang").distinct().count()
+    most = _shared(ROWS_PER_LANGUAGE, LEAST_ROWS, ALL_ROWS, languages)
+    hashed = rows.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"), F.xxhash64("text").alias("t"))
+    # every task keeps its best rows of a language before they are dealt by language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    found = hashed.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "nth", "text").collect()
+    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["nth"]))]
 
 
 def classify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the language and score of column ``text``; other columns pass through.
 
-    A third name adds a boolean: does the text fit its language (``Model.fits``)?
+    A third name adds a boolean: does the text fit its language?
     """
     small_batches(docs.sparkSession)
 
@@ -215,11 +203,8 @@ def classify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("lang_pr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            langs, scores = model.predict(texts)
-            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            if len(columns) > 2:
-                found.append(pa.array(model.fits(texts, langs), pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*names, *columns])
+            found = [pa.array(x, t) for x, t in zip(model.predict(texts), (pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found[: len(columns)]], [*names, *columns])
 
     kinds = (StringType(), DoubleType(), BooleanType())
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *map(StructField, columns, kinds)]))
@@ -235,7 +220,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from text and lang of rows whose crc32(doc_id) mod 4 is not 2; predicts from the text
     alone.  Null texts and texts without a letter are UNKNOWN with score 0, as are all texts when
-    nothing can be learned.  Repeated rows and null ids are kept.
+    nothing can be learned.  Long texts are scored whole, one at a time.  Repeated rows and null ids
+    are kept.  An empty table gives an empty result.
     """
     held: Column = crc_mod(F.col("doc_id"), 4) == 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
