@@ -7,7 +7,8 @@ symbol's tokens and different words there.  All words that training lacks share
 their symbol.  The likelihood of a whole text comes from the scaled forward recursion.
 
 Texts are read once, into blocks: rows of many documents with the block's own word list.  Counts
-of words are joined to block word lists, not to tokens.
+of words are joined to block word lists, not to tokens.  Every round of Baum-Welch goes over whole
+training texts, all of them; what the driver gets of it has the size of the model.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, LOWER_ASCII, materialize, small_batches
@@ -27,19 +28,23 @@ from .common import crc_mod, LOWER_ASCII, materialize, small_batches
 STATES, SYMBOLS = 8, 16_384
 #: The end token's word and symbol; no word contains white space.
 END, END_SYMBOL = b"\n", 0
-#: Tokens of a block, about (a longer text is a block of its own), and of a training sequence.
-BLOCK_TOKENS, SEQUENCE = 1_000_000, 64
-#: Blocks from which Baum-Welch starts, rounds on them, and rounds on all training documents.
-START_BLOCKS, START_ROUNDS, ROUNDS = 2, 8, 2
+#: Tokens of a block, about (a longer text is a block of its own).
+BLOCK_TOKENS = 1_000_000
+#: Tokens of a stretch: texts are worked on in stretches side by side, which are joined exactly.
+STRETCH = 512
+#: Tokens whose states are held at a time.
+HELD_TOKENS = 1 << 20
+#: Baum-Welch ends when a round adds less than GAIN to the log likelihood of a token, or after ROUNDS.
+ROUNDS, GAIN = 6, 1e-3
 #: Weight of the corpus' symbol distribution in every state's, in tokens.
 PRIOR = 2000.0
 
 _BLOCK = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
-    ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("symbols", pa.binary()),
+    ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("top", pa.binary()), ("symbols", pa.binary()),
     ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
 ])
-_BLOCK_SQL = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, low binary, mid binary, high binary, symbols binary, words array<string>, counts array<long>"
+_BLOCK_SQL = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, low binary, mid binary, high binary, top binary, symbols binary, words array<string>, counts array<long>"
 
 
 def symbol(word: bytes) -> int:
@@ -71,7 +76,7 @@ class _Block:
         train = np.repeat(~np.array(self.held), lengths)
         counts = np.bincount(ids[train], minlength=len(self.local))
         symbols = np.fromiter(map(symbol, self.local), np.uint16, len(self.local))
-        planes = [((ids >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16)]
+        planes = [((ids >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
         values = [number, self.docs, self.held, lengths, *planes, symbols.tobytes(), [w.decode("utf-8") for w in self.local], counts]
         return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, _BLOCK)], schema=_BLOCK)
 
@@ -95,10 +100,14 @@ def encode(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "held", "text").mapInArrow(_encode, _BLOCK_SQL), "blocks")
 
 
-def _ids(low: bytes, mid: bytes, high: bytes) -> np.ndarray:
-    out = np.frombuffer(low, np.uint8).astype(np.int32)
-    out |= np.frombuffer(mid, np.uint8).astype(np.int32) << 8
-    return out | np.frombuffer(high, np.uint8).astype(np.int32) << 16
+_PLANES = ("low", "mid", "high", "top")
+
+
+def _ids(planes: list[bytes]) -> np.ndarray:
+    out = np.zeros(len(planes[0]), np.uint32)
+    for i, x in enumerate(planes):
+        out |= np.frombuffer(x, np.uint8).astype(np.uint32) << np.uint32(8 * i)
+    return out
 
 
 @dataclass
@@ -129,33 +138,96 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, move, emit) of sequences x SEQUENCE symbols; -1 pads the ends."""
-        n, steps = symbols.shape
+    def expected(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts (start, move, emit) of whole sequences, one after the other in ``symbols``,
+        and their log likelihood.
+
+        A sequence of more than STRETCH symbols is cut into stretches.  The product of a stretch's
+        steps as one matrix carries the forward and backward variables over it, so every stretch
+        gets its own exactly and all are worked on side by side.
+        """
         k = len(self.start)
-        move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)
-        alpha = np.empty((steps, n, k), np.float32)
-        scale = np.empty((steps, n, 1), np.float32)
-        real = symbols >= 0
-        seen = [np.where(real[:, t, None], emit[symbols[:, t]], np.float32(1)) for t in range(steps)]
-        for t in range(steps):
-            now = (self.start.astype(np.float32) if t == 0 else alpha[t - 1] @ move) * seen[t]
-            scale[t] = now.sum(axis=1, keepdims=True)
-            alpha[t] = now / scale[t]
-        moves = np.zeros((k, k))
-        emits = np.zeros((SYMBOLS, k))
-        beta = np.ones((n, k), np.float32)
-        for t in range(steps - 1, -1, -1):
-            gamma = alpha[t] * beta
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            own = real[:, t]
+        first, move, emit = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
+        # emissions relative to the mean over states: products of steps stay near 1
+        mean = emit.mean(axis=1, keepdims=True)
+        near = emit / mean
+        pieces = -(-lengths // STRETCH)
+        doc = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + nth * STRETCH
+        size = np.minimum(lengths[doc] - nth * STRETCH, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+
+        def groups(chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(stretches, longest first; how many of them run at each step; where each step's states stand)"""
+            ends = np.cumsum(size[chosen])
+            at = 0
+            while at < len(chosen):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_TOKENS)))
+                own = chosen[at:to]
+                running = np.searchsorted(-size[own], -np.arange(size[own[0]]), side="left")
+                yield own, running, np.concatenate([[0], np.cumsum(running)])
+                at = to
+
+        prior = np.tile(first, (len(doc), 1))  # state distribution before a stretch's first symbol
+        before = np.zeros((len(doc), k), np.float32)  # and behind the stretch before it
+        ahead = np.ones((len(doc), k), np.float32)  # likelihood of what follows a stretch, by its last state
+        if (pieces > 1).any():
+            whole = np.empty((len(doc), k, k), np.float32)
+            for own, running, _ in groups(order[pieces[doc[order]] > 1]):
+                m = near[symbols[begin[own]]][:, :, None] * np.eye(k, dtype=np.float32)
+                for t in range(1, len(running)):
+                    n = running[t]
+                    done = m[:n].reshape(n * k, k) @ move
+                    m[:n] = done.reshape(n, k, k) * near[symbols[begin[own[:n]] + t]][:, None, :]
+                    if t % 4 == 0:
+                        m[:n] /= m[:n].sum(axis=(1, 2), keepdims=True)
+                whole[own] = m / m.sum(axis=(1, 2), keepdims=True)
+            for p in range(1, int(pieces.max())):
+                now = np.flatnonzero(nth == p)
+                end = np.einsum("ni,nij->nj", prior[now - 1], whole[now - 1])
+                before[now] = end / end.sum(axis=1, keepdims=True)
+                prior[now] = before[now] @ move
+            for p in range(int(pieces.max()) - 1, 0, -1):
+                now = np.flatnonzero(nth == p)
+                back = np.einsum("nij,nj->ni", whole[now], ahead[now]) @ move.T
+                ahead[now - 1] = back / back.sum(axis=1, keepdims=True)
+
+        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)), 0.0
+        for own, running, place in groups(order):
+            seen = np.empty(place[-1], np.int64)
+            states = np.empty((place[-1], k), np.float32)
+            scale = np.empty((place[-1], 1), np.float32)
+            for t, n in enumerate(running):
+                at = slice(place[t], place[t] + n)
+                seen[at] = symbols[begin[own[:n]] + t]
+                alpha = (prior[own] if t == 0 else states[place[t - 1] : place[t - 1] + n] @ move) * near[seen[at]]
+                scale[at] = alpha.sum(axis=1, keepdims=True)
+                states[at] = alpha / scale[at]
+            total += float(np.log(scale, dtype=np.float64).sum() + np.log(mean[seen], dtype=np.float64).sum())
+            beta = np.empty((len(own), k), np.float32)
+            inside = 0
+            for t in range(len(running) - 1, -1, -1):
+                n, at = running[t], slice(place[t], place[t] + running[t])
+                # stretches that end here take up what follows them
+                if n > inside:
+                    last = states[place[t] + inside : place[t] + n] * ahead[own[inside:n]]
+                    beta[inside:n] = ahead[own[inside:n]] / last.sum(axis=1, keepdims=True)
+                    inside = n
+                here = near[seen[at]] * beta[:n] / scale[at]
+                if t:
+                    earlier = states[place[t - 1] : place[t - 1] + n]
+                    moves += earlier.T @ here
+                else:
+                    later = nth[own] > 0
+                    moves += before[own[later]].T @ here[later]
+                    starts += (states[at] * beta[:n])[~later].sum(axis=0, dtype=np.float64)
+                states[at] *= beta[:n]
+                beta[:n] = here @ move.T
             for s in range(k):
-                emits[:, s] += np.bincount(symbols[own, t], weights=gamma[own, s], minlength=SYMBOLS)
-            if t:
-                ahead = seen[t] * beta / scale[t]
-                moves += (alpha[t - 1] * own[:, None]).T.astype(np.float64) @ ahead
-                beta = ahead @ move.T
-        return gamma.sum(axis=0, dtype=np.float64), moves * self.move, emits
+                emits[:, s] += np.bincount(seen, weights=states[:, s], minlength=SYMBOLS)
+        return starts, moves * self.move, emits, total
 
     def improved(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, background: np.ndarray) -> "Model":
         start, move = start + 1.0, move + 1.0
@@ -163,133 +235,107 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def training_sequences(symbols: np.ndarray, lengths: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """The training documents' symbols, cut every SEQUENCE tokens; the last of a document is padded with -1."""
-    own = symbols[np.repeat(~held, lengths)].astype(np.int32)
-    sizes = lengths[~held]
-    rows = -(-sizes // SEQUENCE)
-    out = np.full(int(rows.sum()) * SEQUENCE, -1, np.int32)
-    begins = (np.cumsum(rows) - rows) * SEQUENCE
-    out[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(own))] = own
-    return out.reshape(-1, SEQUENCE)
-
+def _training(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and lengths of a block's training documents."""
+    lengths, held = np.array(row["lengths"], np.int64), np.array(row["held"], bool)
+    own = np.repeat(~held, lengths)
+    symbols = np.frombuffer(row["symbols"], np.uint16)[_ids([row[x] for x in _PLANES])[own]]
+    return symbols.astype(np.int64), lengths[~held]
 
-def _counts(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    ids = _ids(row["low"], row["mid"], row["high"])
-    symbols = np.frombuffer(row["symbols"], np.uint16)[ids]
-    every = training_sequences(symbols, np.array(row["lengths"]), np.array(row["held"]))
-    k = len(model.start)
-    out = [np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))]
-    for at in range(0, len(every), 4096):
-        for total, more in zip(out, model.expected(every[at : at + 4096])):
-            total += more
-    return tuple(out)
 
+_READ = ["block", "held", "lengths", *_PLANES, "symbols"]
 
-_READ = ["block", "held", "lengths", "low", "mid", "high", "symbols"]
 
-
-def gather(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training documents.  Each task returns a row per symbol and per
-    state; the driver gets SYMBOLS + STATES + 1 rows, whatever the corpus."""
-    k = len(model.start)
+def gather(blocks: DataFrame, count) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums of ``count(symbols, lengths)`` (start, move, emit, a number) over all blocks.  Each task
+    returns a row per symbol and per state; the driver gets SYMBOLS + STATES + 2 rows, whatever the corpus."""
+    k = STATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        start, move, emit, number = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)), 0.0
         for batch in batches:
             for i in range(batch.num_rows):
-                found = _counts(model, batch.slice(i, 1).to_pylist()[0])
-                out = found if out is None else tuple(a + b for a, b in zip(out, found))
-        if out is not None:
-            start, move, emit = out
-            used = np.flatnonzero(emit.any(axis=1))
-            keys = np.concatenate([[-1], -2 - np.arange(k), used]).astype(np.int32)
-            flat = np.concatenate([start[None], move, emit[used]])
+                found = count(*_training(batch.slice(i, 1).to_pylist()[0]))
+                start, move, emit, number = start + found[0], move + found[1], emit + found[2], number + found[3]
+        used = np.flatnonzero(emit.any(axis=1))
+        if len(used):
+            keys = np.concatenate([[-1], -2 - np.arange(k), [-2 - k], used]).astype(np.int32)
+            flat = np.concatenate([start[None], move, np.full((1, k), number / k), emit[used]])
             values = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), k).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(keys), values], ["key", "value"])
 
     parts = blocks.select(*_READ).mapInArrow(run, "key int, value array<double>")
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
+    start, move, emit, number = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)), 0.0
     for r in parts.groupBy("key").agg(F.array(*[F.sum(F.col("value")[s]) for s in range(k)]).alias("value")).collect():
         if r["key"] == -1:
             start += r["value"]
+        elif r["key"] == -2 - k:
+            number = float(sum(r["value"]))
         elif r["key"] < -1:
             move[-2 - r["key"]] += r["value"]
         else:
             emit[r["key"]] += r["value"]
-    return start, move, emit
-
-
-def first_model(rows: list[dict], background: np.ndarray) -> Model:
-    """A start for Baum-Welch from a few blocks: a state for each of the STATES documents that are
-    furthest from one another in symbols, then rounds on these blocks."""
-    k = STATES
-    kinds: list[np.ndarray] = []
-    for row in rows:
-        symbols = np.frombuffer(row["symbols"], np.uint16)[_ids(row["low"], row["mid"], row["high"])]
-        lengths, held = np.array(row["lengths"]), np.array(row["held"])
-        begins = np.cumsum(lengths) - lengths
-        for i in np.flatnonzero(~held & (lengths >= 50))[:300]:
-            kinds.append(np.bincount(symbols[begins[i] : begins[i] + lengths[i]], minlength=SYMBOLS).astype(np.float32))
-    model = Model(np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)) + (0.98 - 0.02 / (k - 1)) * np.eye(k), np.tile(background[:, None], (1, k)))
-    if len(kinds) < k:
-        # too little to choose from: states differ by a fixed perturbation
-        emit = background[:, None] * np.random.default_rng(4).uniform(0.5, 1.5, (SYMBOLS, k))
-        model.emit = emit / emit.sum(axis=0)
-    else:
-        every = np.sqrt(np.array(kinds) / np.sum(kinds, axis=1, keepdims=True))
-        chosen = [0]
-        near = every @ every[0]
-        while len(chosen) < k:
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, every @ every[chosen[-1]])
-        # each document joins its nearest seed, so that a state starts from many of them
-        home = (every @ every[chosen].T).argmax(axis=1)
-        for s in range(k):
-            own = np.sum([kinds[i] for i in np.flatnonzero(home == s)], axis=0) + PRIOR * background
-            model.emit[:, s] = own / own.sum()
-    for _ in range(START_ROUNDS if rows else 0):
-        counts = [_counts(model, r) for r in rows]
-        model = model.improved(*[sum(c[i] for c in counts) for i in range(3)], background)
-    return model
-
-
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, entries): for every word of a block, in its order, 2 * count + 1 if this block is the
-    first that has the word, else 2 * count; the count is the word's in all training tokens.
-
-    One exchange by word, then one by block.  A word's rows are as many as the blocks that have it.
+    return start, move, emit, number
+
+
+def sorted_apart(background: np.ndarray):
+    """Counts for the first model: each document goes to one state, told by the signs of fixed random
+    projections of its symbols, less those of the whole corpus."""
+    bits = max(1, (STATES - 1).bit_length())
+    directions = np.random.default_rng(4).choice([-1.0, 1.0], (SYMBOLS, bits)).astype(np.float32)
+    directions -= (background @ directions).astype(np.float32)
+
+    def count(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        start, emit = np.zeros(STATES), np.zeros((SYMBOLS, STATES))
+        if len(symbols):
+            signs = np.add.reduceat(directions[symbols], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64) > 0
+            state = (signs @ (1 << np.arange(bits))) % STATES
+            start += np.bincount(state, minlength=STATES)
+            of_token = np.repeat(state, lengths)
+            for s in range(STATES):
+                emit[:, s] += np.bincount(symbols[of_token == s], minlength=SYMBOLS)
+        return start, np.zeros((STATES, STATES)), emit, 0.0
+
+    return count
+
+
+def train(blocks: DataFrame, background: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """Baum-Welch over all training documents, and the log likelihood of a token before each round."""
+    start, _, emit, _ = gather(blocks, sorted_apart(background))
+    stay = np.full((STATES, STATES), 0.1 / (STATES - 1)) + (0.9 - 0.1 / (STATES - 1)) * np.eye(STATES)
+    model = Model(start, stay, emit).improved(start, stay * 100, emit, background)
+    tokens, told = emit.sum(), []
+    for _ in range(rounds if tokens else 0):
+        *counts, likelihood = gather(blocks, model.expected)
+        told.append(likelihood / tokens)
+        model = model.improved(*counts, background)
+        if len(told) > 1 and told[-1] - told[-2] < gain:
+            break
+    return model, told
+
+
+def word_totals(blocks: DataFrame) -> DataFrame:
+    """(word, c): every word's count in all training tokens.  Tasks sum up what they have first."""
+    rows = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x"))
+    return rows.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"))
+
+
+def word_counts(blocks: DataFrame, totals: DataFrame) -> DataFrame:
+    """(block, counts): for every word of a block, in its order, its count in all training tokens.
+
+    A word has one row for each block that has it, which is a small share of all rows however
+    frequent the word is: a block has many words, each once.
     """
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    of_word = Window.partitionBy("word")
-    rows = rows.select("block", "pos", F.sum("c").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).cast("long").alias("first"))
-    packed = rows.select("block", (F.col("pos").cast("long") * (1 << 41) + F.col("c") * 2 + F.col("first")).alias("e"))
-    return packed.groupBy("block").agg(F.sort_array(F.collect_list("e")).alias("entries"))
-
-
-def _entries(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rest = values & ((1 << 41) - 1)
-    return rest >> 1, rest & 1
-
+    rows = blocks.select("block", F.posexplode("words").alias("pos", "word"))
+    of_block = rows.join(totals, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("x"))
+    return of_block.select("block", F.col("x.c").alias("counts"))
 
-def symbol_totals(joined: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and different training words of every symbol, from (symbols, entries) of all blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, words = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
-        for batch in batches:
-            for symbols, entries in zip(batch.column(0), batch.column(1)):
-                counts, first = _entries(entries.values.to_numpy())
-                own = np.frombuffer(symbols.as_py(), np.uint16)
-                new = (first == 1) & (counts > 0)
-                np.add.at(tokens, own[new], counts[new])
-                np.add.at(words, own[new], 1)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(tokens[used]), pa.array(words[used])], ["key", "tokens", "words"])
 
+def symbol_totals(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and different training words of every symbol."""
+    own = F.when(F.col("word") == END.decode(), F.lit(END_SYMBOL)).otherwise(1 + F.crc32(F.col("word").cast("binary")) % (SYMBOLS - 1))
     tokens, words = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
-    parts = joined.select("symbols", "entries").mapInArrow(run, "key int, tokens long, words long")
-    for r in parts.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
+    for r in totals.where("c > 0").groupBy(own.cast("int").alias("key")).agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).collect():
         tokens[r["key"]], words[r["key"]] = r["tokens"], r["words"]
     return tokens, words
 
@@ -298,25 +344,19 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score, as the query's contract has them.
 
-    Learns from rows whose crc32(doc_id) mod 7 is not 2.  Null texts are the end token alone.
+    Learns from rows whose crc32(doc_id) mod 7 is not 2, in ``rounds`` rounds at most.  Null texts are the end token alone.
     Repeated rows are counted and scored each.  Without training rows every word is unknown.
     An empty table gives an empty result.
     """
     held = crc_mod(F.col("doc_id"), 7) == 2
     blocks = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text")))
-    entries = materialize(word_counts(blocks), "entries")
-    joined = materialize(blocks.drop("words", "counts").join(entries, "block"), "scored-blocks")
-    tokens, words = symbol_totals(joined)
+    totals = materialize(word_totals(blocks), "words")
+    tokens, words = symbol_totals(totals)
     n, v = int(tokens.sum()), int(words.sum())
     share = tokens + words + 1.0
     background = share / share.sum()
-
-    # the numbers of the sampled blocks first: sorting whole blocks would send many to the driver
-    chosen = [r["block"] for r in joined.select("block").orderBy(F.xxhash64("block"), "block").limit(START_BLOCKS).collect()]
-    sample = joined.where(F.col("block").isin(chosen)).select(*_READ).orderBy("block").collect() if chosen else []
-    model = first_model([r.asDict() for r in sample], background)
-    for _ in range(rounds):
-        model = model.improved(*gather(joined, model), background)
+    model, _ = train(blocks, background, rounds)
+    joined = blocks.drop("words", "counts").join(word_counts(blocks, totals), "block")
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -324,10 +364,10 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i] for k in batch.schema.names}
-                ids = _ids(*(row[k].as_py() for k in ("low", "mid", "high")))
+                ids = _ids([row[k].as_py() for k in _PLANES])
                 lengths = row["lengths"].values.to_numpy()
                 local = np.frombuffer(row["symbols"].as_py(), np.uint16)
-                counts, _ = _entries(row["entries"].values.to_numpy())
+                counts = row["counts"].values.to_numpy()
                 base = np.log10((counts + 1) / (n + v + 1))
                 inside = np.log10((counts + 1) / share[local])
                 at = np.cumsum(lengths) - lengths
@@ -337,4 +377,4 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     [row["doc_ids"].values, row["held"].values, pa.array(lengths.astype(np.int64)), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(len(lengths), n)), pa.array(sums(base)), pa.array(score)], names
                 )
 
-    return joined.select("doc_ids", "held", "lengths", "low", "mid", "high", "symbols", "entries").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.select("doc_ids", "held", "lengths", *_PLANES, "symbols", "counts").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

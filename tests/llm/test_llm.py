@@ -258,14 +258,90 @@ def test_forward_is_the_sum_over_all_paths():
                 p *= model.move[path[t - 1], path[t]] * emit[s[t], path[t]]
             total += p
         assert value == pytest.approx(math.log(total))
-    padded = np.full((4, hmm.SEQUENCE), -1)
-    for row, s in zip(padded, sequences):
-        row[: len(s)] = s
-    start, move, emits = model.expected(padded)
-    assert start.sum() == pytest.approx(4, rel=1e-4) and move.sum() == pytest.approx(8, rel=1e-4) and emits.sum() == pytest.approx(12, rel=1e-4)
+
+
+@pytest.mark.parametrize("stretch,held", [(512, 1 << 20), (1, 3), (2, 4), (3, 100)])
+def test_expected_counts_are_those_of_all_paths(monkeypatch, stretch, held):
+    from itertools import product
+
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "HELD_TOKENS", held)
+    rng = np.random.default_rng(2)
+    k = 3
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    emit = np.full((hmm.SYMBOLS, k), 1e-9)
+    emit[:5] = norm(rng.random((k, 5))).T
+    model = hmm.Model(norm(rng.random(k)), norm(rng.random((k, k))), emit)
+    sequences = [[0, 3, 2, 1, 4, 4, 0], [4], [2, 2], [1, 0, 4, 3, 2, 1]]
+    start, move, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((5, k)), 0.0
+    for s in sequences:
+        paths = list(product(range(k), repeat=len(s)))
+        weights = np.array([model.start[p[0]] * np.prod([emit[x, z] for x, z in zip(s, p)]) * np.prod([model.move[a, b] for a, b in zip(p, p[1:])]) for p in paths])
+        total += math.log(weights.sum())
+        for p, w in zip(paths, weights / weights.sum()):
+            start[p[0]] += w
+            for a, b in zip(p, p[1:]):
+                move[a, b] += w
+            for x, z in zip(s, p):
+                emits[x, z] += w
+    got = model.expected(np.concatenate(sequences), np.array(list(map(len, sequences))))
+    assert got[0] == pytest.approx(start, abs=1e-4) and got[1] == pytest.approx(move, abs=1e-4) and got[2][:5] == pytest.approx(emits, abs=1e-4)
+    assert got[3] == pytest.approx(total, abs=1e-4)
     # a round of Baum-Welch does not lower the likelihood of its sequences
-    better = model.improved(start - 1, move - 1, emits, np.zeros(hmm.SYMBOLS))
-    assert better.sequences(np.concatenate(sequences), np.array(list(map(len, sequences)))).sum() >= got.sum()
+    better = model.improved(got[0] - 1, got[1] - 1, got[2], np.zeros(hmm.SYMBOLS))
+    assert better.expected(np.concatenate(sequences), np.array(list(map(len, sequences))))[3] >= total
+    assert all(np.sum(x) == 0 for x in model.expected(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def test_stretches_of_a_long_text_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = hmm.Model(*[np.full(s, 1 / hmm.STATES) for s in (hmm.STATES, (hmm.STATES, hmm.STATES))], np.full((hmm.SYMBOLS, hmm.STATES), 1 / hmm.SYMBOLS))
+    lengths = rng.integers(1, 3000, 30)
+    symbols = rng.integers(0, 300, lengths.sum())
+    model = model.improved(rng.random(hmm.STATES), rng.random((hmm.STATES, hmm.STATES)) * 9, rng.random((hmm.SYMBOLS, hmm.STATES)) ** 9, np.zeros(hmm.SYMBOLS))
+    cut = model.expected(symbols, lengths)
+    monkeypatch.setattr(hmm, "STRETCH", 1 << 20)
+    whole = model.expected(symbols, lengths)
+    for a, b in zip(cut, whole):
+        assert a == pytest.approx(b, rel=2e-3, abs=2e-2)
+    assert cut[3] == pytest.approx(model.sequences(symbols, lengths).sum(), rel=1e-5)
+
+
+def test_scores_equal_training_on_all_texts_at_once(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 50)
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["Sun moon", "star", "sky w", "rain", f"v{i % 9}"] if i % 2 else ["un deux", "trois", "quatre x", f"v{i % 9}"]) for _ in range(rng.randint(0, 40))), "en", "a") for i in range(80)]
+    got = {r["doc_id"]: r["score"] for r in hmm.score_documents(docs_of(spark, rows), rounds=3).collect()}
+    low = lambda s: s.encode().translate(hmm.LOWER_ASCII).split() + [hmm.END]
+    own = [low(x) for i, x, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for d in own for w in d)
+    tokens, words = np.zeros(hmm.SYMBOLS), np.zeros(hmm.SYMBOLS)
+    for w, n in c.items():
+        tokens[hmm.symbol(w)] += n
+        words[hmm.symbol(w)] += 1
+    share = tokens + words + 1
+    background = share / share.sum()
+    flat, lengths = np.array([hmm.symbol(w) for d in own for w in d]), np.array(list(map(len, own)))
+    start, _, emit, _ = hmm.sorted_apart(background)(flat, lengths)
+    stay = np.full((8, 8), 0.1 / 7) + (0.9 - 0.1 / 7) * np.eye(8)
+    model, told = hmm.Model(start, stay, emit).improved(start, stay * 100, emit, background), []
+    for _ in range(3):
+        *counts, likelihood = model.expected(flat, lengths)
+        told.append(likelihood / len(flat))
+        model = model.improved(*counts, background)
+        if len(told) > 1 and told[-1] - told[-2] < hmm.GAIN:
+            break
+    for i, x, *_ in rows:
+        d = low(x)
+        own = np.array([hmm.symbol(w) for w in d])
+        want = model.sequences(own, np.array([len(d)]))[0] / math.log(10) + sum(math.log10((c[w] + 1) / share[hmm.symbol(w)]) for w in d)
+        assert got[i] == pytest.approx(want, abs=2e-2), i
+
+
+def test_held_out_texts_score_above_the_base(spark, sf):
+    rows = hmm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r["score"] > r["base_score"] for r in rows) >= 0.9 * len(rows)
+    assert sum(r["score"] for r in rows) > 0.98 * sum(r["base_score"] for r in rows)
 
 
 def test_base_scores_and_probabilities(spark, monkeypatch):
@@ -378,11 +454,82 @@ def test_languages_of_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs_of(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kernel_of_presences():
-    model = langid.fit([("aba", "x"), ("cdc", "y")])
-    assert model.presences(["aba"]) @ model.landmarks == pytest.approx(np.array([[1.0, 0.0]]))
-    # a, b, ab, ba, aba of the first; "ab" has a, b, ab
-    assert (model.presences(["ab"]) @ model.landmarks)[0, 0] == pytest.approx(3 / math.sqrt(15))
+def ngrams(text):
+    """As strings: white space, digits and controls are gaps, of which neighbours are one."""
+    import re
+
+    t = re.sub(r"[\s\d\x00-\x1f]+", " ", text.lower())
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def ridge_by_hand(rows, marks):
+    """The regression in the landmarks' space, with plain sets and dense matrices."""
+    k = lambda a, b: len(ngrams(a) & ngrams(b)) / math.sqrt(len(ngrams(a)) * len(ngrams(b)))
+    languages = sorted({lang for _, lang in rows})
+    values, vectors = np.linalg.eigh(np.array([[k(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = lambda x: np.array([k(x, m) for m in marks]) @ root
+    x = np.array([phi(t) for t, _ in rows])
+    y = np.array([[1.0 if lang == c else -1.0 for c in languages] for _, lang in rows])
+    w = np.diag([1 / sum(lang == o for _, o in rows) for _, lang in rows])
+    beta = np.linalg.inv(x.T @ w @ x + langid.RIDGE * np.eye(x.shape[1])) @ x.T @ w @ y
+    return lambda t: phi(t) @ beta
+
+
+def test_regression_equals_plain_matrices(monkeypatch):
+    monkeypatch.setattr(langid, "LANDMARKS_PER_LANGUAGE", 4)
+    rng = random.Random(11)
+    letters = {"a": "abcdefg hi", "b": "defgxyz  7", "c": "漢字かな交じり文 地図"}
+    make = lambda s, n: "".join(rng.choice(s) for _ in range(n)) + s[0]
+    rows = [(make(s, rng.randint(5, 60)), lang) for lang, s in letters.items() for _ in range(9)]
+    model = langid.fit(rows)
+    assert model.languages == ["a", "b", "c"]
+    by_hand = ridge_by_hand(rows, [x for lang in "abc" for x in [t for t, o in rows if o == lang][:4]])
+    texts = [make(rng.choice(list(letters.values())), rng.randint(1, 90)) for _ in range(30)]
+    got, shares = model.decide(texts)
+    known = set().union(*(ngrams(x) for lang in "abc" for x in [t for t, o in rows if o == lang][:4]))
+    for t, v, share in zip(texts, got, shares):
+        assert v == pytest.approx(by_hand(t), abs=2e-4)
+        assert share == pytest.approx(len(ngrams(t) & known) / len(ngrams(t)))
+
+
+def test_every_character_counts():
+    """Two languages of the same thousands of characters, in another order."""
+    rng = random.Random(12)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    follow = {lang: {c: rng.sample(signs, 3) for c in signs} for lang in "xy"}
+
+    def make(lang):
+        out = [rng.choice(signs)]
+        while len(out) < 300:
+            out.append(rng.choice(follow[lang][out[-1]]))
+        return "".join(out)
+
+    model = langid.fit([(make(lang), lang) for _ in range(60) for lang in "xy"])
+    texts = [make(lang) for _ in range(40) for lang in "xy"]
+    assert model.predict(texts)[0] == ["x", "y"] * 40
+    assert len(langid.grams("".join(signs))) == 3000 + 2999 + 2998
+
+
+def test_three_hundred_languages(spark):
+    rng = random.Random(13)
+    syllables = ["".join(p) for p in __import__("itertools").product("bcdfghjklmnpqrstvwxz", "aeiou")]
+    own = [rng.sample(syllables, 12) for _ in range(300)]
+    make = lambda k: " ".join("".join(rng.choice(own[k]) for _ in range(rng.randint(1, 4))) for _ in range(40))
+    rows = [(i, make(i % 300), f"l{i % 300}", "a") for i in range(300 * 12)]
+    got = langid.identify(docs_of(spark, rows, extra=False)).where("held_out").collect()
+    right = sum(r["lang_pred"] == f"l{r['doc_id'] % 300}" for r in got)
+    assert len(got) > 700 and right >= 0.95 * len(got)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 9)
+    monkeypatch.setattr(langid, "LONGEST_LEARNED", 40)
+    rows = [(None, f"text {i} of nobody", "en", "a") for i in range(50)] + [(1, "the same", "de", "a")] * 50 + [(i, "x" * i, "fr", "a") for i in range(60)]
+    got = langid.training_rows(docs_of(spark, rows).repartition(5))
+    assert Counter(lang for _, lang in got) == {"en": 9, "de": 9, "fr": 9} and max(len(x) for x, _ in got) <= 40
+    assert got == langid.training_rows(docs_of(spark, rows[::-1]).repartition(2))
 
 
 # ---- quality classifier
