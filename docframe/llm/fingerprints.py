@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers of tokens.  DataFrame functions only.
 
-A text is cut into tokens (below).  An s-mer is ``S`` neighbouring tokens and has a hash; a k-mer
-is ``K`` neighbouring tokens.  A k-mer is an anchor if the least of its inner s-mer hashes stands
-first or last in it, which depends on the k-mer alone.  So a passage keeps its anchors wherever it
-stands, and at least one of any K - S + 1 neighbouring k-mers is an anchor.
+A text is cut into tokens (below), which have hashes; a k-mer is ``K`` neighbouring tokens.  A k-mer
+is an anchor if the least of its inner tokens' hashes (its s-mers, s = 1) stands first or last in it,
+which depends on the k-mer alone.  So a passage keeps its anchors wherever it stands, and at least
+one of any two neighbouring k-mers is an anchor.  A fingerprint holds all anchors with their places;
+likeness is how much of two texts the anchors that both have cover.
 """
 
 from __future__ import annotations
@@ -13,94 +14,114 @@ from pyspark.sql import functions as F
 
 from .common import let, literal_longs, token_hash
 
-K, S = 5, 2
-#: Anchors kept in a fingerprint: those with the least hashes.
-SKETCH = 64
+K = 3
 #: Letters of scripts written without spaces stand alone; other words are cut every 16 characters.
 TOKEN = "[\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]|[^\\x20\\x09-\\x0D]{1,16}"
-#: A prime under 2^31: products of two residues fit a long.
-PRIME = 2147483629
-MIX_A, MIX_B = 1103515245, 805306457
-#: Characters that one bucket of neighbouring documents holds, and the most buckets.
-BUCKET_CHARS, MAX_BUCKETS = 2_000_000, 65_536
+#: Two chains of residues make an anchor's hash of 62 bits: primes under 2^31, so products fit a long.
+PRIMES = (2147483647, 2147483629)
+FACTORS = (1103515245, 805306457)
+#: Hexadecimal digits of an anchor in a fingerprint: its distance from the one before, and its hash.
+ENTRY = 17
+#: Characters that one bucket of neighbouring documents holds, if so many buckets are allowed.
+BUCKET_CHARS = 2_000_000
 
 
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: token_hash(t) % PRIME)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), token_hash)
 
 
-def _join(a: Column, b: Column) -> Column:
-    return (a * MIX_A + b * MIX_B + 12345) % PRIME
+def _chained(tokens: list[Column]) -> Column:
+    """Order-keeping hash of neighbouring token hashes."""
+    parts = []
+    for prime, factor in zip(PRIMES, FACTORS):
+        x = F.lit(1).cast("long")
+        for t in tokens:
+            x = (x * factor + t) % prime
+        parts.append(x)
+    return parts[0] * (1 << 31) + parts[1]
 
 
-def _chain(at: list[Column]) -> Column:
-    """Order-keeping hash of neighbouring token hashes."""
-    out = at[0]
-    for x in at[1:]:
-        out = (out * 48271 + x) % PRIME
-    return (out * MIX_A + 12345) % PRIME
+def _chained_all(tokens: Column) -> Column:
+    """The same of a whole array."""
+
+    def chain(prime: int, factor: int) -> Column:
+        return F.aggregate(tokens, F.lit(1).cast("long"), lambda acc, t: (acc * factor + t) % prime)
+
+    high, low = map(chain, PRIMES, FACTORS)
+    return high * (1 << 31) + low
 
 
 def anchors(text: Column) -> Column:
     """array<struct<pos int, hash bigint>>: the closed syncmers of a text, by token position.
 
-    None for null, empty and blank texts.  A text of fewer than K tokens is one anchor.  If no
-    k-mer of a longer text qualifies, its k-mer of least hash (the first of equals) is the anchor.
+    None for null, empty and blank texts.  A text of at most K tokens is one anchor, as a whole.
     """
 
-    def select(tokens: Column, mers: Column) -> Column:
-        kmers = F.sequence(F.lit(0), F.size(tokens) - K)
-        edge = lambda i: F.least(F.get(mers, i), F.get(mers, i + (K - S)))
-        inner = lambda i: F.least(*[F.get(mers, i + j) for j in range(1, K - S)])
-        named = lambda at: F.transform(at, lambda i: F.struct(i.alias("pos"), _chain([F.get(tokens, i + j) for j in range(K)]).alias("hash")))
-        closed = named(F.filter(kmers, lambda i: edge(i) <= inner(i)))
-        least = F.array_min(F.transform(named(kmers), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
-        one = F.array(F.struct(least["pos"].alias("pos"), least["hash"].alias("hash")))
-        return let(closed, lambda c: F.when(F.size(c) > 0, c).otherwise(one))
-
     def of(tokens: Column) -> Column:
         n = F.size(tokens)
-        mers = F.transform(F.sequence(F.lit(0), n - S), lambda i: _join(F.get(tokens, i), F.get(tokens, i + 1)))
-        short = F.array(F.struct(F.lit(0).alias("pos"), F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: (acc * 48271 + t + 1) % PRIME).alias("hash")))
+        at = lambda i, j: F.get(tokens, i + j)
+        inner = lambda i: F.least(*[at(i, j) for j in range(1, K - 1)]) if K > 3 else at(i, 1)
+        closed = F.filter(F.sequence(F.lit(0), n - K), lambda i: F.least(at(i, 0), at(i, K - 1)) <= inner(i))
+        some = F.transform(closed, lambda i: F.struct(i.alias("pos"), _chained([at(i, j) for j in range(K)]).alias("hash")))
+        whole = F.array(F.struct(F.lit(0).alias("pos"), _chained_all(tokens).alias("hash")))
         none = F.array().cast("array<struct<pos:int,hash:bigint>>")
-        return F.when(n == 0, none).when(n < K, short).otherwise(let(mers, lambda m: select(tokens, m)))
+        return F.when(n == 0, none).when(n <= K, whole).otherwise(some)
 
     return let(token_hashes(text), of)
 
 
-def fingerprint(text: Column) -> Column:
-    """The SKETCH least anchor hashes of a text, ascending, 8 hex digits each; "" without tokens."""
-    least = lambda a: F.slice(F.sort_array(F.array_distinct(F.transform(a, lambda x: x["hash"]))), 1, SKETCH)
-    return F.array_join(F.transform(let(anchors(text), least), lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+def fingerprint(found: Column) -> Column:
+    """The anchors as a string: for each, by position, one digit for the tokens since the one before
+    (two at most) and 16 for its hash; "" without tokens."""
+    step = lambda x, i: (x["pos"] - F.coalesce(F.get(found, i - 1)["pos"], F.lit(0))).cast("string")
+    return F.array_join(F.transform(found, lambda x, i: F.concat(step(x, i), F.lpad(F.lower(F.hex(x["hash"])), 16, "0"))), "")
 
 
-def _entries(print_: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(print_), F.lit(8)), lambda i: F.substring(print_, i, F.lit(8)))
+def read_fingerprint(found: Column) -> Column:
+    """The anchors that ``fingerprint`` wrote."""
+    entries = F.transform(F.sequence(F.lit(1), F.length(found), F.lit(ENTRY)), lambda i: F.substring(found, i, F.lit(ENTRY)))
+    gaps = lambda x: F.transform(x, lambda e: F.substring(e, 1, 1).cast("int"))
+    place = lambda g, i: F.aggregate(F.slice(g, 1, i + 1), F.lit(0), lambda acc, x: acc + x)
+    read = let(entries, lambda es: let(gaps(es), lambda g: F.transform(es, lambda e, i: F.struct(place(g, i).alias("pos"), F.conv(F.substring(e, 2, 16), 16, 10).cast("long").alias("hash")))))
+    return F.when(F.length(found) == 0, F.array().cast("array<struct<pos:int,hash:bigint>>")).otherwise(read)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two texts' anchors, from their fingerprints: 0 to 1.
+def first_places(found: Column) -> Column:
+    """array<struct<hash, pos>> by hash: every different anchor at its first place."""
+    by_hash = F.sort_array(F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"))))
+    return let(by_hash, lambda z: F.filter(z, lambda x, i: (i == 0) | (F.get(z, i - 1)["hash"] != x["hash"])))
+
 
-    The share of the least entries of the union that both have.  Two empty fingerprints are
-    alike (1), an empty and another are not (0).
+def positional_matches(a: Column, b: Column) -> Column:
+    """array<struct<a int, b int>>: token positions of the anchors that two texts share.
+
+    ``a`` and ``b`` are results of ``first_places``: two sorted arrays, merged by one sort.
     """
+    side = lambda x, s: F.transform(x, lambda e: F.struct(e["hash"].alias("hash"), F.lit(s).alias("side"), e["pos"].alias("pos")))
 
-    def both(x: Column, y: Column) -> Column:
-        union = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-        return let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u))
+    def pairs(z: Column) -> Column:
+        twins = F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: F.get(z, i)["hash"] == F.get(z, i + 1)["hash"])
+        return F.transform(twins, lambda i: F.struct(F.get(z, i)["pos"].alias("a"), F.get(z, i + 1)["pos"].alias("b")))
 
-    some = let(_entries(a), lambda x: let(_entries(b), lambda y: both(x, y)))
-    return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(some)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), none).otherwise(let(F.sort_array(F.concat(side(a, 0), side(b, 1))), pairs))
 
 
-def positional_matches(a: Column, b: Column) -> Column:
-    """array<struct<a int, b int>>: token positions of anchors that two texts share.
+def covered(positions: Column) -> Column:
+    """Tokens that k-mers at these positions cover."""
+    first = F.struct(F.lit(-K).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(positions), first, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(K), p - acc["last"])).alias("n")), lambda acc: acc["n"])
+
 
-    ``a`` and ``b`` are results of ``anchors``; an anchor that repeats in ``b`` matches at its first place.
+def likeness(a: Column, b: Column) -> Column:
+    """Of the tokens that two texts' anchors cover, the share that shared anchors cover: 0 to 1.
+
+    ``a`` and ``b`` are results of ``first_places``.  Two texts without tokens are alike (1).
     """
-    found = lambda x: F.array_position(F.transform(b, lambda y: y["hash"]), x["hash"]) - 1
-    every = F.transform(a, lambda x: F.struct(x["pos"].alias("a"), F.get(b, found(x).cast("int"))["pos"].alias("b")))
-    return F.filter(every, lambda m: m["b"].isNotNull())
+    whole = lambda x: covered(F.transform(x, lambda e: e["pos"]))
+    shared = lambda m: covered(F.transform(m, lambda e: e["a"])) + covered(F.transform(m, lambda e: e["b"]))
+    some = let(positional_matches(a, b), lambda m: F.when(F.size(m) == 0, F.lit(0.0)).otherwise(shared(m) / (whole(a) + whole(b))))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(some)
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,13 +131,14 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     the order of their texts, nulls first.  Rows are dealt to buckets of neighbouring ids whose
     edges are quantiles of the ids themselves; the first rows of a bucket are also sent, as
     guests, to the bucket before it.  So one exchange does it and no window holds the whole table.
+    Buckets hold about BUCKET_CHARS, but are four times the shuffle partitions at most.
     """
     low = -(1 << 63)
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)))
     chars, least = keyed.agg(F.sum(F.coalesce(F.length("text"), F.lit(0))), F.min("_key")).first()
     if least is None:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    n = min(MAX_BUCKETS, int(chars or 0) // BUCKET_CHARS + 1)
+    n = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(chars or 0) // BUCKET_CHARS + 1)
     edges: list[int] = []
     if n > 1:
         shares = ",".join(str(i / n) for i in range(1, n))
@@ -158,16 +180,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     equal fingerprints.  Repeated rows are kept; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("fingerprint", fingerprint(F.col("text")))
-    both = with_next(own, ["text", "fingerprint"])
+    both = with_next(own, ["text"])
     both = both.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    # the hash names the edited text once more: without it the text is rebuilt in every use
-    out = both.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-        fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
+    # every step names the columns of the last one more than once, so that each is computed once
+    found = both.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("other"), anchors(F.col("next_text")).alias("following"),
+    )
+    placed = found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
+        *[first_places(F.col(c)).alias(c) for c in ("own", "other", "following")],
     )
-    return out.select(
+    return placed.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
     )

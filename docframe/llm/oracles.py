@@ -23,44 +23,45 @@ crcs AS (
 )"""
 
 
-def _sketches(texts: str, name: str) -> str:
-    """CTEs that turn ``texts`` (id, text) into ``name`` (id, print): list of 8-digit entries."""
-    chain = "t1"
-    for i in range(2, fp.K + 1):
-        chain = f"({chain} * 48271 + t{i}) % {fp.PRIME}"
-    final = lambda x: f"(({x}) * {fp.MIX_A} + 12345) % {fp.PRIME}"
-    leads = ", ".join(f"lead(h, {i}) OVER w AS t{i + 1}" for i in range(1, fp.K))
-    mer = lambda a, b: f"({a} * {fp.MIX_A} + {b} * {fp.MIX_B} + 12345) % {fp.PRIME}"
-    mers = [mer(f"t{i}", f"t{i + 1}") for i in range(1, fp.K)]
-    short = "list_reduce(list_prepend(0::BIGINT, list(h ORDER BY pos)), lambda a, t: (a * 48271 + t + 1) % " + str(fp.PRIME) + ")"
+def _chained(tokens: list[str]) -> str:
+    parts = []
+    for prime, factor in zip(fp.PRIMES, fp.FACTORS):
+        x = "1::BIGINT"
+        for t in tokens:
+            x = f"(({x} * {factor} + {t}) % {prime})"
+        parts.append(x)
+    return f"({parts[0]} * {1 << 31} + {parts[1]})"
+
+
+def _chained_all(ordered: str) -> str:
+    high, low = (f"list_reduce(list_prepend(1::BIGINT, {ordered}), lambda a, t: (a * {f} + t) % {p})" for p, f in zip(fp.PRIMES, fp.FACTORS))
+    return f"({high} * {1 << 31} + {low})"
+
+
+def _anchors(part: str) -> str:
+    """CTEs ``{part}`` (id, pos, hash), its first places ``{part}_1``, and ``{part}_print`` (id, print, cover)."""
     return f"""
-{name}_tok AS (
-  SELECT id, pos, crc % {fp.PRIME} AS h FROM tokens JOIN crcs USING (tok) WHERE part = '{texts}'
-),
-{name}_mer AS (
-  SELECT id, pos, h AS t1, {leads} FROM {name}_tok WINDOW w AS (PARTITION BY id ORDER BY pos)
-),
-{name}_k AS (
-  SELECT id, pos, {final(chain)} AS kh, least({mers[0]}, {mers[-1]}) <= least({', '.join(mers[1:-1])}) AS closed
-  FROM {name}_mer WHERE t{fp.K} IS NOT NULL
-),
-{name}_pick AS (
-  SELECT id, kh FROM {name}_k WHERE closed
-  UNION ALL
-  SELECT id, min(kh) FROM {name}_k GROUP BY id HAVING NOT bool_or(closed)
+{part}_tok AS (SELECT id, pos, crc::BIGINT AS h FROM tokens JOIN crcs USING (tok) WHERE part = '{part}'),
+{part}_mer AS (SELECT id, row_number() OVER w - 1 AS pos, h AS t1, lead(h, 1) OVER w AS t2, lead(h, 2) OVER w AS t3, count(*) OVER (PARTITION BY id) AS n FROM {part}_tok WINDOW w AS (PARTITION BY id ORDER BY pos)),
+{part} AS (
+  SELECT id, pos, {_chained(["t1", "t2", "t3"])} AS hash FROM {part}_mer WHERE n > {fp.K} AND t3 IS NOT NULL AND least(t1, t3) <= t2
   UNION ALL
-  SELECT id, {short} FROM {name}_tok GROUP BY id HAVING count(*) < {fp.K}
+  SELECT id, 0, {_chained_all("list(h ORDER BY pos)")} FROM {part}_tok GROUP BY id HAVING count(*) <= {fp.K}
 ),
-{name} AS (
-  SELECT id, list_transform(list_slice(list_sort(list_distinct(list(kh))), 1, {fp.SKETCH}), lambda x: lpad(format('{{:x}}', x), 8, '0')) AS print
-  FROM {name}_pick GROUP BY id
-)"""
+{part}_1 AS (SELECT id, hash, min(pos) AS pos FROM {part} GROUP BY id, hash),
+{part}_print AS (
+  SELECT id, string_agg(step || lpad(format('{{:x}}', hash), 16, '0'), '' ORDER BY pos) AS print
+  FROM (SELECT *, pos - coalesce(lag(pos) OVER w, 0) AS step FROM {part} WINDOW w AS (PARTITION BY id ORDER BY pos)) GROUP BY id
+),
+{part}_cover AS ({_cover(f"{part}_1", "pos")})"""
+
+
+def _cover(table: str, pos: str) -> str:
+    return f"SELECT id, sum(new) AS cover FROM (SELECT id, least({fp.K}, coalesce({pos} - lag({pos}) OVER (PARTITION BY id ORDER BY {pos}), {fp.K})) AS new FROM {table}) GROUP BY id"
 
 
-def _near(a: str, b: str) -> str:
-    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE (
-      len(list_filter(list_slice(list_sort(list_distinct(list_concat({a}, {b}))), 1, {fp.SKETCH}), lambda x: list_contains({a}, x) AND list_contains({b}, x)))::DOUBLE
-      / len(list_slice(list_sort(list_distinct(list_concat({a}, {b}))), 1, {fp.SKETCH}))) END"""
+def _near(name: str, a: str, b: str) -> str:
+    return f"CASE WHEN {a}.cover IS NULL AND {b}.cover IS NULL THEN 1.0 ELSE coalesce({name}_a.cover + {name}_b.cover, 0)::DOUBLE / (coalesce({a}.cover, 0) + coalesce({b}.cover, 0)) END"
 
 
 OP1 = f"""
@@ -70,24 +71,26 @@ ring AS (
          coalesce(lead(text) OVER o, first_value(text) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text
   FROM base WINDOW o AS (ORDER BY doc_id)
 ),
-own AS (SELECT doc_id AS id, text FROM ring),
-edited AS (
+edits AS (
   SELECT doc_id AS id, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS text FROM ring
 ),
 tokens AS (
   SELECT part, id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos
   FROM (SELECT part, id, regexp_extract_all(text, '{fp.TOKEN}') AS toks
-        FROM (SELECT 'own' AS part, * FROM own UNION ALL SELECT 'edited', * FROM edited))
+        FROM (SELECT 'own' AS part, doc_id AS id, text FROM ring UNION ALL SELECT 'edited', * FROM edits))
 ),
 {_CRC.strip()},
-{_sketches('own', 'f')},
-{_sketches('edited', 'e')}
-SELECT r.doc_id, length(r.text)::BIGINT AS n_chars, sha256(d.text) AS edited_sha256,
-       array_to_string(coalesce(f.print, []), '') AS fingerprint, array_to_string(coalesce(e.print, []), '') AS edited_fingerprint,
-       {_near('coalesce(f.print, [])', 'coalesce(e.print, [])')} AS near_edited,
-       {_near('coalesce(f.print, [])', 'coalesce(g.print, [])')} AS near_next
-FROM ring r JOIN edited d ON d.id = r.doc_id
-LEFT JOIN f ON f.id = r.doc_id LEFT JOIN e ON e.id = r.doc_id LEFT JOIN f AS g ON g.id = r.next_id
+{_anchors('own')},
+{_anchors('edited')},
+with_edited AS (SELECT o.id, o.pos AS a, e.pos AS b FROM own_1 o JOIN edited_1 e ON e.id = o.id AND e.hash = o.hash),
+with_next AS (SELECT r.doc_id AS id, o.pos AS a, x.pos AS b FROM ring r JOIN own_1 o ON o.id = r.doc_id JOIN own_1 x ON x.id = r.next_id AND x.hash = o.hash),
+e_a AS ({_cover('with_edited', 'a')}), e_b AS ({_cover('with_edited', 'b')}), n_a AS ({_cover('with_next', 'a')}), n_b AS ({_cover('with_next', 'b')})
+SELECT r.doc_id, length(r.text)::BIGINT AS n_chars, sha256(d.text) AS edited_sha256, coalesce(p.print, '') AS fingerprint, coalesce(q.print, '') AS edited_fingerprint,
+       {_near('e', 'oc', 'ec')} AS near_edited, {_near('n', 'oc', 'nc')} AS near_next
+FROM ring r JOIN edits d ON d.id = r.doc_id
+LEFT JOIN own_print p ON p.id = r.doc_id LEFT JOIN edited_print q ON q.id = r.doc_id
+LEFT JOIN own_cover oc ON oc.id = r.doc_id LEFT JOIN edited_cover ec ON ec.id = r.doc_id LEFT JOIN own_cover nc ON nc.id = r.next_id
+LEFT JOIN e_a ON e_a.id = r.doc_id LEFT JOIN e_b ON e_b.id = r.doc_id LEFT JOIN n_a ON n_a.id = r.doc_id LEFT JOIN n_b ON n_b.id = r.doc_id
 """
 
 _B = qr.BUCKETS
