@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..functions.names import fresh
+from .common import discard, materialize
 
 
 def _stars(sym: DataFrame, keep_larger: bool) -> DataFrame:
@@ -34,10 +35,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         sym = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        current = materialize(_stars(_stars(sym, True), False), "edges")
+        last, current = current, materialize(_stars(_stars(sym, True), False), "edges")
+        discard(last)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     ids = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class of ``found`` (doc_id, component_id): that of the smallest doc_id.
+
+    Rows that repeat a kept doc_id are dropped but for one, with the least text (null first).  Rows
+    with a null doc_id name no document and stay.  All columns pass through.
+    """
+    kept, nth = fresh(docs.columns, "kept", "nth")
+    ids = found.select(F.col("component_id").alias(kept)).distinct()
+    own = docs.join(ids, F.col("doc_id").cast("long") == F.col(kept), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    return own.withColumn(nth, first).where(F.col(nth) == 1).drop(nth).unionByName(docs.where("doc_id is null"))

@@ -4,7 +4,8 @@ A ring of ``SEGMENTS`` segments and a distance of at most ``MAX_BITS`` bits leav
 start from which every run of l consecutive segments differs in at most l * MAX_BITS / SEGMENTS
 bits.  With five segments and two bits the first two segments of that run are equal: they are
 the bucket key.  Runs of three and four segments may differ in one bit; pairs that break this
-are dropped before the full comparison.
+are dropped before the full comparison.  Large buckets are split by the third segment of the run,
+where a member also visits the 12 or 13 values that differ from its own in one bit.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize, small_batches
-from .components import connected_components
+from . import shingles
+from .common import LOWER_ASCII, join_lookup, materialize, small_batches
+from .components import connected_components, kept_rows
 
 SEGMENTS, MAX_BITS, SHINGLE_WORDS, SEED = 5, 2, 3, 42
 WIDTHS = [64 // SEGMENTS + (i < 64 % SEGMENTS) for i in range(SEGMENTS)]
-#: Members of a bucket that are compared pair by pair; larger buckets take the exact way by neighbours.
+#: Members of a bucket that are compared pair by pair; a larger one is split by the next segment, and if
+#: a part is still larger, its members meet at the points next to them: exact ways both.
 PAIRWISE_BUCKET = 24
 
 
@@ -92,37 +95,63 @@ def _viable(xor: Column, start: Column) -> Column:
     return out
 
 
+def _bits_of(*segments: int) -> int:
+    return sum(_mask(i % SEGMENTS) % (1 << 64) for i in segments)
+
+
+def _by_start(make) -> Column:
+    """The value that ``make`` gives for each start."""
+    out = make(SEGMENTS - 1)
+    for i in range(SEGMENTS - 1):
+        out = F.when(F.col("start") == i, make(i)).otherwise(out)
+    return out
+
+
+def _flips(bits: int) -> Column:
+    """No flip, and one for each of the bits."""
+    return F.array(*[F.lit(x).cast("long") for x in [0, *(_signed(1 << b) for b in range(64) if bits >> b & 1)]])
+
+
 def link_fingerprints(reps: DataFrame) -> DataFrame:
     """(fp, rep) with distinct fp -> edges (u, v) of reps, enough to join all within MAX_BITS.
 
-    Small buckets compare their pairs.  In a bucket of more than PAIRWISE_BUCKET members each
-    one names the points at distance 0 or 1 of it (outside the key): two members within two
-    bits share such a point, and all that share one are within two bits, so the sharers are
-    linked to the least of them.  That is exact and grows with the bucket, not its square.
+    Buckets of up to PAIRWISE_BUCKET members compare their pairs.  The members of a larger one are
+    dealt by their third segment, and each visits the values next to its own: pairs of a member at
+    home with another or a visitor pass the chain test, then the full one.  In a part that is still
+    too large the members at home go on to the points next to them in the last two segments, and
+    visitors, that have a bit less to spare, stay where they are.  All that meet at a point are
+    within two bits, so they are linked to the least of them; and any two within two bits whose
+    runs keep their budget from this start meet.  That grows with the part, not with its square.
     """
-    keyed = reps.select(
-        "fp", "rep",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed((_mask(i) | _mask((i + 1) % SEGMENTS)) % (1 << 64)))).alias("key")) for i in range(SEGMENTS)])).alias("k"),
-    ).select("fp", "rep", "k.start", "k.key")
+    key = F.col("fp").bitwiseAND(_by_start(lambda i: F.lit(_signed(_bits_of(i, i + 1)))))
+    keyed = reps.select("fp", "rep", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("start")).withColumn("key", key)
     sizes = keyed.groupBy("start", "key").agg(F.count("*").alias("members")).where("members > 1")
-    keyed = keyed.join(sizes, ["start", "key"])
-    keyed = materialize(keyed, "buckets")
+    keyed = materialize(join_lookup(keyed, sizes, ["start", "key"]), "buckets")
+    xor = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    alike = (F.col("a.fp") < F.col("b.fp")) & _viable(xor, F.col("a.start")) & (F.bit_count(xor) <= MAX_BITS)
 
     few = keyed.where(F.col("members") <= PAIRWISE_BUCKET)
     a, b = few.alias("a"), few.alias("b")
-    xor = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    on = (F.col("a.start") == F.col("b.start")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _viable(xor, F.col("a.start")) & (F.bit_count(xor) <= MAX_BITS)
-    pairs = a.join(b, on).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-
-    free = F.lit(None).cast("array<bigint>")
-    for i in range(SEGMENTS):
-        key = (_mask(i) | _mask((i + 1) % SEGMENTS)) % (1 << 64)
-        flips = [0] + [_signed(1 << bit) for bit in range(64) if not key >> bit & 1]
-        free = F.when(F.col("start") == i, F.array(*[F.lit(x).cast("long") for x in flips])).otherwise(free)
-    many = keyed.where(F.col("members") > PAIRWISE_BUCKET).select("start", "fp", "rep", F.explode(free).alias("flip"))
-    sharers = many.groupBy("start", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    stars = sharers.select(F.array_min("reps").alias("v"), F.explode("reps").alias("u")).where("u <> v").select("u", "v")
-    return pairs.union(stars)
+    pairs = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.key") == F.col("b.key")) & alike).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+
+    many = keyed.where(F.col("members") > PAIRWISE_BUCKET)
+    if many.isEmpty():
+        return pairs
+    third = many.select("start", "fp", "rep", F.explode(_by_start(lambda i: _flips(_bits_of(i + 2)))).alias("flip"))
+    third = third.select("start", "fp", "rep", (F.col("flip") == 0).alias("home"), F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    third = third.withColumn("part", F.col("at").bitwiseAND(_by_start(lambda i: F.lit(_signed(_bits_of(i, i + 1, i + 2))))))
+    sizes = third.groupBy("start", "part").agg(F.count("*").alias("members"), F.max("home").alias("lived")).where("members > 1 and lived").drop("lived")
+    third = materialize(join_lookup(third, sizes, ["start", "part"]), "parts")
+    few = third.where(F.col("members") <= PAIRWISE_BUCKET)
+    a, b = few.where("home").alias("a"), few.alias("b")
+    split = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.part") == F.col("b.part")) & alike).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+
+    flips = F.when(F.col("home"), _by_start(lambda i: _flips(_bits_of(i + 3, i + 4)))).otherwise(F.array(F.lit(0).cast("long")))
+    points = third.where(F.col("members") > PAIRWISE_BUCKET).select("start", "at", "rep", F.explode(flips).alias("flip"))
+    points = points.select("start", F.col("at").bitwiseXOR(F.col("flip")).alias("point"), "rep")
+    least = points.groupBy("start", "point").agg(F.min("rep").alias("v"), F.max("rep").alias("most")).where("v < most").drop("most")
+    stars = join_lookup(points, least, ["start", "point"]).select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
+    return pairs.union(split).union(stars)
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
@@ -138,17 +167,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
     found = connected_components(link_fingerprints(reps))
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_lookup(fps, classes, ["fp"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of the smallest doc_id.
+def keep_one(docs: DataFrame, least: float | None = None, n: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each class, as ``kept_rows`` chooses it.
 
-    Rows that repeat a kept doc_id are dropped but for one, with the least text.  Rows with a null
-    doc_id name no document and stay.  All columns pass through.
+    Classes are those of ``near_duplicates``.  With ``least`` they are those of texts whose shingles
+    have that Jaccard likeness at least: texts of likeness 0.8 differ in about ten of 64 bits, more
+    than segments of a fingerprint can find, so ``shingles.classes`` takes over.
     """
-    kept = near_duplicates(docs, n).select(F.col("component_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    found = found.withColumn("_nth", first).where("_nth = 1").drop("_nth")
-    return found.union(docs.where("doc_id is null"))
+    return kept_rows(docs, near_duplicates(docs, n) if least is None else shingles.classes(docs, least, n))

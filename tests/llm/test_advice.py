@@ -51,6 +51,30 @@ def test_the_stage_finds_copies_of_likeness_080(spark, sf, monkeypatch, pairwise
     assert got == set(root) and 40 < len(root) - len(got)
 
 
+def test_a_crowd_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text with few edits join; those with many stay, as whole sets have it."""
+    rng = random.Random(41)
+    own = [word(rng) for _ in range(150)]
+    texts = []
+    for _ in range(150):
+        copy = own[:]
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 3, 4, 6, 12, 30])):
+            copy[at] = word(rng)
+        texts.append(" ".join(copy))
+    asked = []
+    real = shingles._linked
+    monkeypatch.setattr(shingles, "_linked", lambda pairs, *a: (asked.append(pairs.distinct().count()), real(pairs, *a))[1])
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    got = {r["doc_id"]: r["component_id"] for r in shingles.classes(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) > 20
+    assert sum(asked) < 6 * len(texts), asked
+
+
 def test_the_stage_drops_junk_and_unlearned_languages(spark):
     import corpus_pipeline
 

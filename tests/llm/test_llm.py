@@ -222,7 +222,7 @@ def classes(fps):
     return [find(i) for i in ids]
 
 
-@pytest.mark.parametrize("pairwise", [2, 1000])
+@pytest.mark.parametrize("pairwise", [1, 2, 8, 1000])
 def test_links_match_all_pairs(spark, monkeypatch, pairwise):
     monkeypatch.setattr(simhash, "PAIRWISE_BUCKET", pairwise)
     rng = random.Random(7)
@@ -233,6 +233,14 @@ def test_links_match_all_pairs(spark, monkeypatch, pairwise):
             for _ in range(rng.randint(0, 3)):
                 at ^= 1 << rng.randrange(64)
             fps.add(at - (1 << 64) if at >> 63 else at)
+    # crowds around one point, near in every segment and far in one
+    for spread in (range(64), range(26, 64), range(30, 45)):
+        at = rng.getrandbits(64)
+        for _ in range(80):
+            x = at
+            for _ in range(rng.randint(0, 3)):
+                x ^= 1 << rng.choice(spread)
+            fps.add(x - (1 << 64) if x >> 63 else x)
     fps = sorted(fps)
     reps = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
     found = {r["id"]: r["component"] for r in components.connected_components(simhash.link_fingerprints(reps)).collect()}
@@ -253,10 +261,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert by[1]["fingerprint"] == "0" * 16 and by[1]["component_id"] == by[2]["component_id"] == by[3]["component_id"] == 1
     assert by[5]["component_id"] == 4 and by[6]["component_id"] == 6
     assert simhash.near_duplicates(empty(spark)).collect() == []
-    kept = simhash.keep_one(docs_of(spark))
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and None in ids and 5 not in ids and 2 not in ids
-    assert kept.columns == docs_of(spark).columns
+    own = docs_of(spark)
+    for name in ("_nth", "_kept", "_kept_", "_d", "_s", "_position"):
+        own = own.withColumn(name, F.lit("clash"))
+    for kept in (simhash.keep_one(own), simhash.keep_one(own, 0.8, 5)):
+        ids = [r["doc_id"] for r in kept.collect()]
+        assert len(ids) == len(set(ids)) and None in ids and 5 not in ids and 2 not in ids
+        assert kept.columns == own.columns
+        assert all(r["_nth"] == r["_kept"] == "clash" for r in kept.collect())
+    assert simhash.keep_one(empty(spark), 0.8, 5).collect() == []
 
 
 # ---- language model
