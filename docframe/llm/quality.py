@@ -1,9 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Random indexing: every document has a sparse ternary index vector; the vector of a token bucket is
-the sum of the index vectors of the documents it occurs in, over the whole corpus.  Sums of
-integers come out the same in any order.  A document is the mean of its tokens' vectors.  The
-network's logits are divided by a temperature fitted on labelled rows that it wasn't trained on.
+Random indexing: every document has a sparse ternary index vector, made of its text's hash; the
+vector of a token (of its bucket: tokens are hashed) is the sum of the index vectors of the documents
+it occurs in, over the whole corpus, scaled to length 1.  Sums of integers come out the same in any
+order.  A document is pooled as the mean of its tokens' vectors and, for each of LAGS, the mean of the
+products of the vectors of tokens so far apart, number by number: for equal tokens these are squares.
+The network's logits are divided by a temperature fitted on labelled rows that it wasn't trained on.
 """
 
 from __future__ import annotations
@@ -21,52 +23,42 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod, process_cache, small_batches
 
-#: Buckets of tokens, and numbers in a vector.
-BUCKETS, SIZE = 16_384, 64
-#: Index vectors: how many there are, and their numbers that aren't zero.
-INDEX_VECTORS, NONZERO = 8192, 8
-#: Buckets of marks: a token in capitals, one equal to the token before it, a run of three seen before, digits.
-CAPITALS, SAME, AGAIN, DIGITS, MARKS = 0, 1, 2, 3, 4
+#: Buckets of tokens, numbers in a vector, and how many of an index vector's are drawn.
+BUCKETS, SIZE, NONZERO = 32_768, 64, 8
+LAGS = (1, 2, 3)
+WIDTH = SIZE * (1 + len(LAGS))
 #: Bound of the labelled sample.
 LABELLED = 8192
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.02, 5e-3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 REMEMBERED = 200_000
-_CAPITAL = 1 << 20
+#: Tokens of a text whose vectors are held at a time.
+HELD_TOKENS = 1 << 16
 
 
 class Tokens(dict):
-    """token -> its bucket, with _CAPITAL added if it is in capitals."""
+    """token -> its bucket."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        if token.isdigit():
-            out = DIGITS
-        else:
-            out = MARKS + zlib.crc32(token.lower().encode("utf-8", "replace")) % (BUCKETS - MARKS)
-            if len(token) > 1 and token.isupper():
-                out += _CAPITAL
-        self[token] = out
+        out = self[token] = zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
         return out
 
 
-def document_tokens(text: str | None, memory: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a text's tokens in order, and how often each mark of CAPITALS, SAME, AGAIN applies."""
-    found = np.array(list(map(memory.__getitem__, TOKEN.findall(text or ""))), np.int64)
-    capitals = int((found >= _CAPITAL).sum())
-    found &= _CAPITAL - 1
-    same = int((found[1:] == found[:-1]).sum())
-    runs = (found[:-2] * BUCKETS + found[1:-1]) * BUCKETS + found[2:]
-    return found, np.array([capitals, same, len(runs) - len(np.unique(runs))])
+def document_tokens(text: str | None, memory: Tokens) -> np.ndarray:
+    """The buckets of a text's tokens, in order."""
+    return np.array(list(map(memory.__getitem__, TOKEN.findall(text or ""))), np.int64)
+
 
+def index_vector(text: str | None) -> np.ndarray:
+    """int32, SIZE: the sum of NONZERO entries of 1 or -1 at places that the text's hash draws."""
+    import xxhash
 
-def index_vectors() -> np.ndarray:
-    """int8, INDEX_VECTORS x SIZE: NONZERO entries of 1 or -1 in each row; always the same."""
-    rng = np.random.default_rng(20)
-    out = np.zeros((INDEX_VECTORS, SIZE), np.int8)
-    for row in out:
-        row[rng.choice(SIZE, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
+    h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace"), 20)
+    out = np.zeros(SIZE, np.int32)
+    for i in range(NONZERO):
+        out[(h >> 6 * i) % SIZE] += 1 if h >> 48 + i & 1 else -1
     return out
 
 
@@ -75,14 +67,11 @@ def _memory() -> Tokens:
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = process_cache("quality:index", index_vectors)
     sums = np.zeros((BUCKETS, SIZE), np.int32)
     for batch in batches:
         for x in batch.column(0):
             text = x.as_py()
-            found, marks = document_tokens(text, _memory())
-            present = np.union1d(found, np.flatnonzero(marks))
-            sums[present] += index[zlib.crc32((text or "").encode("utf-8", "replace")) % INDEX_VECTORS]
+            sums[np.unique(document_tokens(text, _memory()))] += index_vector(text)
     used = np.flatnonzero(sums.any(axis=1))
     for at in range(0, len(used), 2048):
         own = used[at : at + 2048]
@@ -97,18 +86,27 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """
     small_batches(docs.sparkSession)
     parts = docs.select("text").mapInArrow(_accumulate, "bucket int, sums array<int>")
-    sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(SIZE)]).alias("sums")).collect()
+    found = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(SIZE)]).alias("sums")).toArrow()
     out = np.zeros((BUCKETS, SIZE), np.float32)
-    for row in sums:
-        out[row["bucket"]] = row["sums"]
+    for batch in found.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).flatten().to_numpy().reshape(-1, SIZE)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def pool(text: str | None, vectors: np.ndarray, memory: Tokens) -> np.ndarray:
-    found, marks = document_tokens(text, memory)
-    if not len(found):
-        return np.zeros(SIZE, np.float32)
-    return (vectors[found].sum(axis=0) + marks @ vectors[: len(marks)]) / np.float32(len(found))
+    """float32, WIDTH: the mean of the tokens' vectors, then for each lag the sum of products over the
+    number of tokens.  Zero without tokens."""
+    found = document_tokens(text, memory)
+    out = np.zeros((1 + len(LAGS), SIZE), np.float32)
+    for at in range(0, len(found), HELD_TOKENS):
+        # the tokens before it that lags reach back to come along
+        back = min(at, max(LAGS))
+        x = vectors[found[at - back : at + HELD_TOKENS]]
+        out[0] += x[back:].sum(axis=0)
+        for i, lag in enumerate(LAGS, 1):
+            first = max(back, lag)
+            out[i] += np.einsum("ij,ij->j", x[first:], x[first - lag : len(x) - lag])
+    return out.ravel() / np.float32(max(1, len(found)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -148,12 +146,20 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss plus half of DECAY times the squares of the two layers' weights, by back propagation."""
+    hidden = np.tanh(x @ params[0] + params[1])
+    error = (_sigmoid(hidden @ params[2] + params[3][0]) - y) / len(y)
+    back = np.outer(error, params[2]) * (1 - hidden**2)
+    return [x.T @ back + DECAY * params[0], back.sum(axis=0), hidden.T @ error + DECAY * params[2], np.array([error.sum()])]
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Network:
     """Train on four of five rows and calibrate on the fifth.  With one class or none: its share, shrunk."""
     rng = np.random.default_rng(7)
-    x = x.reshape(-1, SIZE).astype(np.float64)
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(SIZE), np.ones(SIZE))
-    net = Network(mean, scale, rng.normal(0, SIZE**-0.5, (SIZE, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+    x = x.reshape(-1, WIDTH).astype(np.float64)
+    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
+    net = Network(mean, scale, rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
     if len(set(y.tolist())) < 2:
         return net
     apart = np.arange(len(y)) % 5 == 4
@@ -164,11 +170,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     params = [net.w1, net.b1, net.w2, np.array([net.b2])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for epoch in range(1, EPOCHS + 1):
-        hidden = np.tanh(tx @ params[0] + params[1])
-        error = (_sigmoid(hidden @ params[2] + params[3][0]) - ty) / len(ty)
-        back = np.outer(error, params[2]) * (1 - hidden**2)
-        grads = [tx.T @ back + DECAY * params[0], back.sum(axis=0), hidden.T @ error + DECAY * params[2], np.array([error.sum()])]
-        for p, g, m, v in zip(params, grads, first, second):
+        for p, g, m, v in zip(params, gradients(params, tx, ty), first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
@@ -186,7 +188,7 @@ class Scorer:
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1 for each text; that of the zero vector for null and empty ones."""
         every = [pool(x.as_py(), self.vectors, _memory()) for x in texts]
-        return self.network.probability(np.array(every, np.float64).reshape(-1, SIZE))
+        return self.network.probability(np.array(every, np.float64).reshape(-1, WIDTH))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -230,7 +232,8 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
 
     The score is the probability of label 1; empty and null texts get that of the zero vector.
-    Without labels every score is 0.5.  Repeated rows and null ids are kept.
+    Without labels every score is 0.5.  Texts are pooled whole, HELD_TOKENS at a time.  Repeated rows
+    and null ids are kept.  An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     out = classify(rows, learn(docs, labels)).drop("text")

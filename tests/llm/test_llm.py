@@ -585,6 +585,60 @@ def test_quality_of_odd_rows(spark):
     assert {r["score"] for r in quality.assess(docs_of(spark), labels.where("false")).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("held", [7, 1 << 16])
+def test_vectors_and_pooling_by_hand(spark, monkeypatch, held):
+    monkeypatch.setattr(quality, "HELD_TOKENS", held)
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(["sun", "Moon", "star!!", "12", "Été", "a_b"]) for _ in range(rng.randint(0, 30))), "en", "a") for i in range(50)] + ODD
+    got = quality.word_vectors(docs_of(spark, rows))
+    bucket = lambda t: zlib.crc32(t.encode()) % quality.BUCKETS
+    sums = {}
+    for _, text, *_ in rows:
+        for b in {bucket(t) for t in quality.TOKEN.findall(text or "")}:
+            sums[b] = sums.get(b, 0) + quality.index_vector(text).astype(int)
+    assert set(np.flatnonzero(got.any(axis=1))) == {b for b, x in sums.items() if np.any(x)}
+    for b, x in sums.items():
+        assert got[b] == pytest.approx(x / max(np.linalg.norm(x), 1e-9), abs=1e-6)
+    for _, text, *_ in rows[:20] + [r for r in ODD if len(r[1] or "") < 1000]:
+        v = [got[bucket(t)] for t in quality.TOKEN.findall(text or "")]
+        parts = [sum(v, np.zeros(quality.SIZE))] + [sum((a * b for a, b in zip(v, v[lag:])), np.zeros(quality.SIZE)) for lag in quality.LAGS]
+        assert quality.pool(text, got, quality.Tokens()) == pytest.approx(np.concatenate(parts) / max(1, len(v)), abs=1e-5)
+
+
+def test_index_vectors_are_sparse_and_balanced():
+    every = np.array([quality.index_vector(f"text {i}") for i in range(2000)])
+    assert np.abs(every).sum(axis=1).max() <= quality.NONZERO and abs(every.mean()) < 0.01
+    assert (np.abs(every @ every.T - np.diag((every**2).sum(axis=1))).mean()) < 1
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(12, 6)), rng.integers(0, 2, 12).astype(float)
+    params = [rng.normal(size=(6, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+
+    def loss(p):
+        z = np.tanh(x @ p[0] + p[1]) @ p[2] + p[3][0]
+        return np.mean(np.log1p(np.exp(-np.where(y > 0, z, -z)))) + quality.DECAY / 2 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+
+    for i, g in enumerate(quality.gradients(params, x, y)):
+        for at in np.ndindex(g.shape):
+            moved = [[q.copy() for q in params] for _ in range(2)]
+            moved[0][i][at] += 1e-5
+            moved[1][i][at] -= 1e-5
+            assert g[at] == pytest.approx((loss(moved[0]) - loss(moved[1])) / 2e-5, abs=1e-7)
+
+
+def test_repeated_words_are_told_by_pooling(spark):
+    """Junk that only repeats words, which the mean of its words does not show."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    good = [(i, " ".join(rng.choice(words) for _ in range(60)), "en", "a") for i in range(300)]
+    bad = [(1000 + i, " ".join(w for w in rng.sample(words, 4) for _ in range(15)), "en", "a") for i in range(100)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in good + bad], "doc_id long, quality int")
+    got = quality.assess(docs_of(spark, good + bad, extra=False), labels).where("held_out").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] < 1000) for r in got) >= 0.97 * len(got)
+
+
 def test_temperature_is_fitted():
     rng = np.random.default_rng(3)
     true = rng.normal(0, 1.5, 4000)
