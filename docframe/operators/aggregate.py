@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
+from ..functions.names import fresh
 from ..plans import ast as A
 from ..plans import compile as C
 from .find import arrange, as_aggregate, bind_both, match
@@ -26,13 +27,21 @@ def _moments(df: DataFrame, path: A.Path) -> Column | None:
 
 
 def _recent(df: DataFrame, w: A.Window) -> DataFrame:
-    """Documents no older than the newest less the duration; the newest is a scalar of the same rows."""
+    """Documents no older than the newest less the duration.
+
+    The newest is looked up first: as a plain number the bound reaches the scan, which passes over
+    the files and row groups that are older.
+    """
     at = _moments(df, w.path)
     if at is None:
         return df.where(F.lit(False))
-    newest = df.agg(F.max(at).alias("newest"))
-    # one row: nested-loop broadcast of a single moment
-    return df.join(F.broadcast(newest), at >= F.col("newest") - _interval(w.size)).drop("newest")
+    zoned = not isinstance(C.Scope.of(df).walk(w.path).type, T.TimestampNTZType)
+    newest = df.agg(F.unix_micros(F.max(at)) if zoned else F.max(at)).first()[0]
+    if newest is None:
+        return df.where(F.lit(False))
+    if zoned:
+        return df.where(at >= F.timestamp_micros(F.lit(newest - w.size // timedelta(microseconds=1))))
+    return df.where(at >= C.moment((newest - w.size).replace(tzinfo=timezone.utc), T.TimestampNTZType()))
 
 
 def _recent_per_group(df: DataFrame, w: A.Window, group: tuple[A.Path, ...]) -> DataFrame:
@@ -41,20 +50,21 @@ def _recent_per_group(df: DataFrame, w: A.Window, group: tuple[A.Path, ...]) ->
     node = scope.walk(w.path)
     if node is None or isinstance(w.size, timedelta) and node.kind != "datetime":
         return df.where(F.lit(False))
+    nth, newest, *names = fresh(df.columns, "nth", "newest", *(f"{x}{i}" for x in "gk" for i in range(len(keys))))
     if isinstance(w.size, timedelta):
         # partial maxima first, so a hot group is summed before it is dealt
-        names = [f"_g{i}" for i in range(len(keys))]
-        newest = df.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.max(node.column).alias("_newest"))
-        marked = df.withColumns(dict(zip([f"_k{i}" for i in range(len(keys))], keys)))
-        on = [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(keys))]
+        there, here = names[: len(keys)], names[len(keys) :]
+        latest = df.groupBy(*[k.alias(n) for k, n in zip(keys, there)]).agg(F.max(node.column).alias(newest))
+        marked = df.withColumns(dict(zip(here, keys)))
+        on = [F.col(h).eqNullSafe(F.col(t)) for h, t in zip(here, there)]
         condition = on[0]
         for c in on[1:]:
             condition = condition & c
-        joined = marked.join(newest, condition).where(node.column >= F.col("_newest") - _interval(w.size))
+        joined = marked.join(latest, condition).where(node.column >= F.col(newest) - _interval(w.size))
         return joined.select(*[F.col(f"`{c}`") for c in df.columns])
     ordered = Window.partitionBy(*keys).orderBy(*_newest_first(node), F.col("_id").desc())
-    numbered = df.where(node.column.isNotNull()).withColumn("_nth", F.row_number().over(ordered))
-    return numbered.where(F.col("_nth") <= w.size).drop("_nth")
+    numbered = df.where(node.column.isNotNull()).withColumn(nth, F.row_number().over(ordered))
+    return numbered.where(F.col(nth) <= w.size).drop(nth)
 
 
 def _newest_first(node: C.Node) -> list[Column]:
@@ -76,19 +86,30 @@ def unwind(df: DataFrame, path: A.Path, position: str | None = None) -> DataFram
     if not isinstance(node.type, T.ArrayType):
         out = df.where(node.column.isNotNull())
         return out if position is None else out.withColumn(position, F.lit(0))
-    out = df.select("*", F.posexplode(node.column).alias(position or "_pos", "_element"))
+    at, element = fresh([*df.columns, position or ""], "pos", "element")
+    out = df.select("*", F.posexplode(node.column).alias(position or at, element))
     head = path.names[0]
     if len(path.names) == 1:
-        value = F.col("_element")
+        value = F.col(element)
     else:
-        value = F.col(f"`{head}`").withField(".".join(f"`{n}`" for n in path.names[1:]), F.col("_element"))
-    out = out.withColumn(head, value).drop("_element")
-    return out if position else out.drop("_pos")
+        value = F.col(f"`{head}`").withField(".".join(f"`{n}`" for n in path.names[1:]), F.col(element))
+    out = out.withColumn(head, value).drop(element)
+    return out if position else out.drop(at)
+
+
+#: A power of two: numbers divided by it lose nothing (but the tiniest), and sums of 2**64 of them stay finite.
+_SCALE = 2.0**64
+
+
+def _finite(total: Any, value: Column) -> Column:
+    """``total`` (a sum or mean) of doubles; where numbers on the way to it are too large, it is made of scaled ones."""
+    plain, scaled = total(value), total(value / F.lit(_SCALE)) * F.lit(_SCALE)
+    return F.when(F.isnan(plain) | (F.abs(plain) == F.lit(float("inf"))), scaled).otherwise(plain)
 
 
 def _sum(x: C.Node, value: Column) -> Column:
     if isinstance(x.type, (T.FloatType, T.DoubleType)):
-        return F.coalesce(F.sum(value.cast("double")), F.lit(0.0)) + F.lit(0.0)
+        return F.coalesce(_finite(F.sum, value.cast("double")), F.lit(0.0)) + F.lit(0.0)
     if isinstance(x.type, T.DecimalType):
         return F.coalesce(F.sum(value), F.lit(0))
     # exact over any number of rows; a total that doesn't fit 64 bits is an error
@@ -109,6 +130,8 @@ def column(c: A.Column, scope: C.Scope, ids: list[Column]) -> Column:
     if c.kind == "sum":
         return _sum(node, only(node.column)) if number else F.coalesce(F.sum(F.lit(0)), F.lit(0)).cast("long")
     if c.kind == "avg":
+        if number and isinstance(node.type, (T.FloatType, T.DoubleType)):
+            return _finite(F.avg, only(node.column).cast("double"))
         return F.avg(only(node.column)) if number else F.max(F.lit(None).cast("double"))
     if node is None:
         return F.max(F.lit(None).cast("string"))
@@ -144,17 +167,17 @@ def run(df: DataFrame, a: A.Aggregate) -> DataFrame:
         df = _recent(df, a.window)
     if a.group_window is not None:
         df = _recent_per_group(df, a.group_window, a.group)
-    positions = []
-    for i, path in enumerate(a.unwind):
-        df = unwind(df, path, f"_pos{i}")
-        positions.append(F.col(f"_pos{i}"))
+    names = fresh(df.columns, *(f"pos{i}" for i in range(len(a.unwind))))
+    for name, path in zip(names, a.unwind):
+        df = unwind(df, path, name)
+    positions = [F.col(n) for n in names]
     scope = C.Scope.of(df)
     ids = [*([F.col("_id")] if "_id" in df.columns else []), *positions] or [F.lit(0)]
-    keys = [(f"_group{i}", g, scope.walk(g)) for i, g in enumerate(a.group)]
+    *groups, rows_name = fresh([c.name for c in a.columns], *(f"group{i}" for i in range(len(a.group))), "rows")
+    keys = [(k, g, scope.walk(g)) for k, g in zip(groups, a.group)]
     columns = [column(c, scope, ids).alias(c.name) for c in a.columns]
     grouped = df.groupBy(*[(F.lit(None).cast("string") if n is None else n.column).alias(k) for k, _, n in keys])
-    hidden = [F.count(F.lit(1)).alias("_rows")]
-    rows = grouped.agg(*columns, *hidden).drop("_rows")
+    rows = grouped.agg(*columns, F.count(F.lit(1)).alias(rows_name)).drop(rows_name)
     rows = rows.select(*_nested(keys), *[F.col(f"`{c.name}`") for c in a.columns])
     scope = C.Scope.of(rows)
     having = C.where(a.having, scope)

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ClosureError, QueryError
+from ..functions.names import fresh
 from ..plans import ast as A
 from ..plans import compile as C
+from ..plans.documents import on_documents
 from ..plans.parser import parse_aggregate, parse_filter
 
 
@@ -48,21 +50,19 @@ def match(df: DataFrame, f: A.Filter) -> DataFrame:
 
 
 def _by_key(df: DataFrame, key: A.Key) -> tuple[DataFrame, list]:
-    function = key.function
-
-    @F.pandas_udf("double")
-    def score(frame):  # noqa: ANN001, ANN202
-        import pandas as pd
+    """``df`` with the function's number for each document, where it gives one, and the sort by it."""
+    (name,) = fresh(df.columns, "sort_key")
 
+    def score(doc: dict) -> float | None:
         try:
-            return pd.Series([function(row) for row in frame.to_dict("records")], dtype="float64")
+            out = key.function(doc)
         except Exception as e:
             raise ClosureError(f"a sort key's function raised {e!r}") from e
+        return None if out is None else float(out)
 
-    score.func.__annotations__ = {}
-    out = df.withColumn("_sort_key", score(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    out = out.where(F.col("_sort_key").isNotNull() & ~F.isnan("_sort_key"))
-    return out, [F.col("_sort_key").desc() if key.descending else F.col("_sort_key").asc()]
+    out = df.withColumn(name, on_documents(score, df.schema, "double"))
+    out = out.where(F.col(name).isNotNull() & ~F.isnan(name))
+    return out, [F.col(name).desc() if key.descending else F.col(name).asc()]
 
 
 def arrange(df: DataFrame, f: A.Filter) -> DataFrame:
@@ -76,9 +76,7 @@ def arrange(df: DataFrame, f: A.Filter) -> DataFrame:
         if any(isinstance(o, A.Key) for o in rest):
             raise QueryError("only the first sort key can be a function")
         df = df.orderBy(*columns, *C.sort_columns(rest, C.Scope.of(df)))
-    elif f.offset or f.limit is not None:
-        # without a sort any rows will do
-        pass
+    # without a sort any rows will do
     if f.offset:
         df = df.offset(f.offset)
     if f.limit is not None:

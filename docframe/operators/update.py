@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import QueryError, UpdateError
 from ..functions import values as V
+from ..functions.names import fresh
 from ..plans import ast as A
 from ..plans import compile as C
 
@@ -290,7 +291,8 @@ def columns(df: DataFrame, update: Update, hit: Column, inserting: bool = False)
     is an error when the rows are computed.
     """
     # the rows are chosen before anything changes
-    df, hit = df.withColumn("_chosen", hit), F.col("_chosen")
+    chosen, renamed = fresh([*df.columns, *(x for c in update.changes for x in (c.path.split(".")[0], str(c.value).split(".")[0]))], "chosen", "renamed")
+    df, hit = df.withColumn(chosen, hit), F.col(chosen)
     for c in update.check().changes:
         names = c.path.split(".")
         node = C.Scope.of(df).walk(A.Path.of(c.path))
@@ -323,11 +325,11 @@ def columns(df: DataFrame, update: Update, hit: Column, inserting: bool = False)
         elif c.op == "rename":
             if node is None:
                 continue
-            df = df.withColumn("_renamed", x)
+            df = df.withColumn(renamed, x)
             there = C.Scope.of(df).walk(A.Path.of(c.value))
-            moved = F.col("_renamed") if there is None else F.coalesce(F.col("_renamed").cast(there.type), there.column)
-            df = _write(df, c.value.split("."), moved, hit & F.col("_renamed").isNotNull(), c.value)
-            df = _write(df, names, F.lit(None).cast(node.type), hit, c.path).drop("_renamed")
+            moved = F.col(renamed) if there is None else F.coalesce(F.col(renamed).cast(there.type), there.column)
+            df = _write(df, c.value.split("."), moved, hit & F.col(renamed).isNotNull(), c.value)
+            df = _write(df, names, F.lit(None).cast(node.type), hit, c.path).drop(renamed)
             continue
         else:
             if node is None and c.op in ("pull", "pop"):
@@ -353,4 +355,4 @@ def columns(df: DataFrame, update: Update, hit: Column, inserting: bool = False)
                     new = F.when(n == 0, x).otherwise(F.slice(x, F.lit(2) if c.value == -1 else F.lit(1), n - 1))
                     new = F.when(x.isNull(), x).otherwise(new)
         df = _write(df, names, new, hit, c.path)
-    return df.drop("_chosen")
+    return df.drop(chosen)

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..errors import ClosureError, QueryError
 from ..functions import values as V
 from . import ast as A
+from .documents import on_documents
 from .patterns import java_pattern, literal_prefix, python_pattern
 
 Bool = Column | bool
@@ -396,25 +397,16 @@ def _in_list(c: A.InList, scope: Scope, negated: bool) -> Bool:
 
 
 def _custom(c: A.Custom, scope: Scope) -> Bool:
-    """By Arrow batches of the named fields; an absent field is left out of the dict."""
-    found = [(n, node) for n in c.fields if (node := scope.root(n)) is not None]
-    function = c.function
+    """By Arrow batches of the named fields; one that the schema lacks is left out of the dict, a null is None."""
 
-    @F.pandas_udf("boolean")
-    def run(frame):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def test(doc: dict) -> bool:
+        try:
+            return bool(c.function(doc))
+        except Exception as e:
+            raise ClosureError(f"a condition's function raised {e!r}") from e
 
-        out = []
-        for row in frame.to_dict("records"):
-            row.pop("_", None)
-            try:
-                out.append(bool(function({k: None if v is pd.NaT else v for k, v in row.items()})))
-            except Exception as e:
-                raise ClosureError(f"a condition's function raised {e!r}") from e
-        return pd.Series(out, dtype=bool)
-
-    run.func.__annotations__ = {}
-    return run(F.struct(F.lit(True).alias("_"), *[node.column.alias(n) for n, node in found]))
+    fields = [f for n in c.fields for f in scope.schema.fields if f.name == n]
+    return on_documents(test, T.StructType(fields), "boolean")
 
 
 def where(c: A.Condition, scope: Scope) -> Column | None:

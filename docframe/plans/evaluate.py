@@ -6,7 +6,6 @@ from __future__ import annotations
 import copy
 import functools
 import math
-import re
 from collections.abc import Iterator
 from datetime import timedelta
 from fractions import Fraction
@@ -15,7 +14,7 @@ from typing import Any
 from ..errors import ClosureError, QueryError
 from ..functions import values as V
 from . import ast as A
-from .patterns import python_pattern
+from .patterns import found
 
 _MISSING = object()
 
@@ -74,8 +73,8 @@ def matches(c: A.Condition, doc: Any) -> bool:
     if isinstance(c, A.InList):
         return c.negated != any(_meets(x, "eq", v) for v in c.values for x in reach(doc, c.path.steps))
     if isinstance(c, A.Matches):
-        found = re.compile(python_pattern(c.pattern))
-        return any(isinstance(x, str) and found.search(x) is not None for x in reach(doc, c.path.steps))
+        test = found(c.pattern)
+        return any(isinstance(x, str) and test(x) for x in reach(doc, c.path.steps))
     if isinstance(c, A.Exists):
         return any(x is not _MISSING for x in reach(doc, c.path.steps))
     if isinstance(c, A.IsKind):

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
 from ..errors import Conflict
 
 
+def plain(uri: str) -> str:
+    """The path of a file without scheme and host."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", uri)
+
+
+def plain_from_scan(uri: str) -> str:
+    """The same of what a scan says of its file, which is encoded as a URI."""
+    return unquote(plain(uri))
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark._jvm
@@ -33,8 +45,20 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(p)))
 
-    def data_files(self, p: str) -> list[str]:
-        return [f"{p}/{n}" for n in self.names(p) if n.startswith("part-")]
+    def modified(self, p: str) -> int:
+        """Milliseconds, by the storage's own clock."""
+        return self.fs.getFileStatus(self.path(p)).getModificationTime()
+
+    def data_below(self, p: str) -> list[str]:
+        """Data files in a folder and the folders in it."""
+        out = []
+        for s in self.fs.listStatus(self.path(p)) if self.exists(p) else []:
+            name = s.getPath().getName()
+            if s.isDirectory():
+                out += self.data_below(f"{p}/{name}")
+            elif name.startswith("part-"):
+                out.append(f"{p}/{name}")
+        return out
 
     def size(self, p: str) -> int:
         return self.fs.getFileStatus(self.path(p)).getLen()

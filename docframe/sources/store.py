@@ -3,13 +3,16 @@
 Every commit publishes ``manifest/<version>.json``, which names the data files of all collections
 and what the commit changed.  The name can be taken once, so commits are atomic over all
 collections and a second writer of the same version gets Conflict.  Files are never changed:
-updates and deletes rewrite only the files that hold a matching document.  A snapshot is a version.
+updates and deletes rewrite only the files that hold a matching document.  A snapshot is a version;
+while it is open a lease in ``leases/`` keeps ``compact`` from it.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import json
+import re
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -20,18 +23,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ClosureError, DocframeError, DuplicateId, DuplicateValue, HintError, MultipleMatches, NotFound, PreconditionFailed, QueryError, ReadOnly, SnapshotTooOld
+from ..errors import ClosureError, Conflict, DocframeError, DuplicateId, DuplicateValue, HintError, MultipleMatches, NotFound, PreconditionFailed, QueryError, ReadOnly, SnapshotTooOld
 from ..functions import values as V
+from ..functions.names import fresh
 from ..operators import aggregate as agg
 from ..operators import find as fnd
 from ..operators import update as upd
 from ..plans import ast as A
 from ..plans import compile as C
 from ..plans.parser import print_filter
-from .files import Files
+from .files import Files, plain, plain_from_scan
 from .rows import document, merge_schemas, schema_of, settled, to_spark
 
 Docs = Iterable[dict] | DataFrame
+#: Bytes of a collection's name at most.
+NAME_BYTES = 255
+#: Seconds that a lease holds without being renewed: a program that ended without closing leaves one.
+LEASE_SECONDS = 24 * 3600
+#: Seconds by which files must be older than a compaction's commit to be deleted: times may be whole seconds.
+MARGIN = 2
+
+
+def folder_of(name: str) -> str:
+    """The folder of a collection's files: other names, other folders, and plain letters only."""
+    if not isinstance(name, str) or not name or len(name.encode("utf-8", "surrogatepass")) > NAME_BYTES:
+        raise QueryError(f"a collection's name has 1 to {NAME_BYTES} bytes: {name!r}")
+    return "c-" + re.sub(rb"[^A-Za-z0-9-]", lambda m: b"_%02x" % m[0][0], name.encode("utf-8", "surrogatepass")).decode("ascii")
 
 
 def generated_ids() -> Any:
@@ -48,13 +65,27 @@ class State:
     schema: T.StructType
     files: list[str] = field(default_factory=list)
     indexes: dict[str, dict] = field(default_factory=dict)
+    #: Least and greatest _id of a file, where that is known: integers or strings.
+    ranges: dict[str, list] = field(default_factory=dict)
 
     def to_json(self) -> dict:
-        return {"schema": self.schema.jsonValue(), "files": self.files, "indexes": self.indexes}
+        return {"schema": self.schema.jsonValue(), "files": self.files, "indexes": self.indexes, "ranges": {k: v for k, v in self.ranges.items() if k in set(self.files)}}
 
     @classmethod
     def from_json(cls, x: dict) -> State:
-        return cls(T.StructType.fromJson(x["schema"]), list(x["files"]), dict(x["indexes"]))
+        return cls(T.StructType.fromJson(x["schema"]), list(x["files"]), dict(x["indexes"]), dict(x.get("ranges", {})))
+
+    def copy(self) -> State:
+        return State(self.schema, list(self.files), dict(self.indexes), dict(self.ranges))
+
+    def may_hold(self, low: Any, high: Any) -> list[str]:
+        """The files that may hold an _id between the two."""
+        out = []
+        for f in self.files:
+            r = self.ranges.get(f)
+            if r is None or type(r[0]) is not type(low) or not (r[1] < low or high < r[0]):
+                out.append(f)
+        return out
 
 
 def typed(cls: type, doc: dict) -> Any:
@@ -230,11 +261,12 @@ class Collection(View):
 
 
 class Snapshot:
-    """One moment of the database, for reading."""
+    """One moment of the database, for reading.  ``compact`` keeps it until it is closed."""
 
     def __init__(self, db: Database, version: int):
         self.db, self.version = db, version
-        self.info = {"version": version, "committed": db.manifest(version)["at"]}
+        self._lease = db.lease(version)
+        self.info = {"version": version, "committed": db.manifest(version)["at"], "pinned": self._lease is not None}
 
     def collection(self, name: str) -> View:
         return View(self.db, name, self.version)
@@ -243,7 +275,9 @@ class Snapshot:
         return sorted(self.db.manifest(self.version)["collections"])
 
     def close(self) -> None:
-        pass
+        """Let go of the version; reads go on while it is there."""
+        self.db.release(self._lease)
+        self._lease = None
 
     def __enter__(self) -> Snapshot:
         return self
@@ -258,7 +292,7 @@ class Database:
         self.root = self.files.root
         self._cache: dict[int, dict] = {}
         if not read_only:
-            for d in ("manifest", "data", "changes"):
+            for d in ("manifest", "data", "changes", "leases"):
                 self.files.mkdirs(f"{self.root}/{d}")
 
     # ---- versions
@@ -282,12 +316,41 @@ class Database:
             self._cache[version] = x
         return self._cache[version]
 
-    def frame(self, state: State | None) -> DataFrame:
+    # ---- leases
+
+    def lease(self, version: int, onward: bool = False) -> str | None:
+        """Keep a version (and, ``onward``, all later ones) from ``compact``; None if the database is read only."""
+        if self.read_only or version == 0:
+            return None
+        path = f"{self.root}/leases/{uuid.uuid4().hex}.json"
+        self.files.create(path, json.dumps({"version": version, "onward": onward, "until": time.time() + LEASE_SECONDS}))
+        return path
+
+    def release(self, lease: str | None) -> None:
+        if lease is not None:
+            self.files.delete(lease)
+
+    def leased(self) -> list[dict]:
+        """The leases that hold; those that ran out are deleted."""
+        out = []
+        for n in self.files.names(f"{self.root}/leases"):
+            if n.startswith("."):
+                continue
+            x = json.loads(self.files.read(f"{self.root}/leases/{n}"))
+            if x["until"] > time.time():
+                out.append(x)
+            elif not self.read_only:
+                self.files.delete(f"{self.root}/leases/{n}")
+        return out
+
+    def frame(self, state: State | None, name_of_file: str | None = None) -> DataFrame:
+        """All documents of a state; a column of that name gives each one's file."""
         if state is None:
             return self.spark.createDataFrame([], T.StructType([T.StructField("_id", T.StringType())]))
         if not state.files:
             return self.spark.createDataFrame([], state.schema)
-        return _tagged(self.spark.read.schema(state.schema).parquet(*[f"{self.root}/{x}" for x in state.files]), state.schema)
+        df = self.spark.read.schema(state.schema).parquet(*[f"{self.root}/{x}" for x in state.files])
+        return _tagged(df, state.schema, *([] if name_of_file is None else [df.metadataColumn("_metadata")["file_path"].alias(name_of_file)]))
 
     def collection(self, name: str) -> Collection:
         return Collection(self, name)
@@ -341,7 +404,12 @@ class Database:
         return {"root": self.root, "version": self.version(), "read_only": self.read_only, "collections": self.collections()}
 
     def compact(self, keep: int = 1, file_bytes: int = 256 << 20) -> dict:
-        """Rewrite small files into fewer, keep the last ``keep`` versions, and delete files that none of them names."""
+        """Rewrite small files into fewer, keep the last ``keep`` versions and those that open snapshots
+        and feeds lease, and delete what none of them names.
+
+        Files younger than this commit stay: a batch that began after it may be about to name them, and
+        one that began before it can no longer commit.
+        """
         batch = self.batch()
         for name, state in batch.state.items():
             if len(state.files) > 1:
@@ -352,28 +420,39 @@ class Database:
         batch.touched = True
         batch.commit()
         version = self.version()
-        oldest = max(1, version - keep + 1)
-        named = {x for v in range(oldest, version + 1) for s in self.manifest(v)["collections"].values() for x in s.files}
+        horizon = self.files.modified(f"{self.root}/manifest/{version:012d}.json") - 1000 * MARGIN
+        return {"version": version, "deleted_files": self.sweep(version, keep, horizon)}
+
+    def sweep(self, version: int, keep: int, horizon: int) -> int:
+        """Delete versions before the last ``keep`` that no lease holds, and files older than ``horizon``
+        (milliseconds) that no version left names; how many data files."""
+        every = [int(n[:-5]) for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json") and not n.startswith(".")]
+        leases = self.leased()
+        kept = {v for v in every if v > version - keep or any(v == x["version"] or x["onward"] and v >= x["version"] for x in leases)}
+        for v in set(every) - kept:
+            for path in self.manifest(v)["changes"].values():
+                self.files.delete(f"{self.root}/{path}")
+            self.files.delete(f"{self.root}/manifest/{v:012d}.json")
+            self._cache.pop(v, None)
+        named = {x for v in kept for s in self.manifest(v)["collections"].values() for x in s.files}
         deleted = 0
-        for v in [n for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json") and int(n[:-5]) < oldest]:
-            self.files.delete(f"{self.root}/manifest/{v}")
-            self._cache.pop(int(v[:-5]), None)
-        for c in self.files.names(f"{self.root}/data"):
-            for d in self.files.names(f"{self.root}/data/{c}"):
-                for x in self.files.names(f"{self.root}/data/{c}/{d}"):
-                    if x.startswith("part-") and f"data/{c}/{d}/{x}" not in named:
-                        self.files.delete(f"{self.root}/data/{c}/{d}/{x}")
-                        deleted += 1
-        return {"version": version, "deleted_files": deleted}
-
-
-def _tagged(df: DataFrame, schema: T.StructType) -> DataFrame:
+        for path in self.files.data_below(f"{self.root}/data"):
+            if path.removeprefix(self.root + "/") not in named and self.files.modified(path) < horizon:
+                self.files.delete(path)
+                deleted += 1
+        return deleted
+
+
+def _tagged(df: DataFrame, schema: T.StructType, *more: Any) -> DataFrame:
     """Field metadata back on the columns: a reader keeps it only for files that Spark wrote with it."""
-    return df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f"`{f.name}`") for f in schema.fields])
+    return df.select(*more, *[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f"`{f.name}`") for f in schema.fields])
 
 
-def _repeated(df: DataFrame, index: dict) -> Any:
-    """A key that two documents share, or None.  Nulls are exempt; arrays count per element."""
+def _repeated(df: DataFrame, index: dict, changed: DataFrame | None = None) -> Any:
+    """A key that two documents share, or None.  Nulls are exempt; arrays count per element.
+
+    With ``changed`` (_id) only keys of these documents are looked at.
+    """
     keys = [C.Scope.of(df).walk(A.Path(tuple(A.Step(s.name) for s in A.Path.of(p).steps))) for p in index["fields"]]
     if any(k is None for k in keys):
         return None
@@ -384,6 +463,8 @@ def _repeated(df: DataFrame, index: dict) -> Any:
     names = [f"k{i}" for i in range(len(keys))]
     for n in names:
         rows = rows.where(F.col(n).isNotNull())
+    if changed is not None:
+        rows = rows.join(rows.join(changed.select("_id"), "_id", "left_semi").select(*names).distinct(), names, "left_semi")
     return rows.distinct().groupBy(*names).count().where("count > 1").first()
 
 
@@ -396,7 +477,7 @@ class Batch:
     def __init__(self, db: Database):
         self.db = db
         self.base = db.manifest()
-        self.state = {k: State(v.schema, list(v.files), dict(v.indexes)) for k, v in self.base["collections"].items()}
+        self.state = {k: v.copy() for k, v in self.base["collections"].items()}
         self.steps: list[Callable[[], Any]] = []
         self.changes: dict[str, list[DataFrame]] = {}
         self.dropped: set[str] = set()
@@ -485,6 +566,16 @@ class Batch:
         """Run the steps and publish one new version, or nothing if a step fails."""
         if self.db.read_only:
             raise ReadOnly("the database was opened for reading")
+        try:
+            return self._commit(dry_run)
+        except DocframeError:
+            raise
+        except Exception as e:
+            if self.db.version() > self.base["version"]:
+                raise Conflict("another commit came first") from e
+            raise
+
+    def _commit(self, dry_run: bool) -> list:
         results = [step() for step in self.steps]
         if dry_run or not (self.changes or self.dropped or self.touched):
             return results
@@ -516,12 +607,23 @@ class Batch:
     def _check_unique(self, name: str, only: str | None = None) -> None:
         state = self.state[name]
         for key, index in state.indexes.items():
-            if index["unique"] and only in (None, key) and (found := _repeated(self._frame(name), index)) is not None:
+            if not index["unique"] or only not in (None, key):
+                continue
+            changed = None
+            if only is None and name in self.changes and not self.created(name, key):
+                changed = self._net(self.changes[name])
+            if (found := _repeated(self._frame(name), index, changed)) is not None:
                 raise DuplicateValue(f"{name}: {key} = {list(found)[:-1]} stands twice")
 
+    def created(self, name: str, key: str) -> bool:
+        """Did this batch make the index?"""
+        old = self.base["collections"].get(name)
+        return old is None or key not in old.indexes or name in self.dropped
+
     # ---- steps
 
     def _own(self, name: str) -> State:
+        folder_of(name)
         if name not in self.state:
             self.state[name] = State(T.StructType([T.StructField("_id", T.StringType(), True, {"kind": "id"})]))
         return self.state[name]
@@ -530,9 +632,42 @@ class Batch:
         return self.db.frame(self.state.get(name))
 
     def write(self, name: str, df: DataFrame) -> list[str]:
-        folder = f"data/{name}/{uuid.uuid4().hex}"
+        """Write data files and note their ranges of ids."""
+        folder = f"data/{folder_of(name)}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.db.root}/{folder}")
-        return [x.removeprefix(self.db.root + "/") for x in self.db.files.data_files(f"{self.db.root}/{folder}") if self.db.files.size(x)]
+        out = self._files_in(folder)
+        self._note_ranges(name, out)
+        return out
+
+    def _files_in(self, folder: str) -> list[str]:
+        every = self.db.files.data_below(f"{self.db.root}/{folder}")
+        return [x.removeprefix(self.db.root + "/") for x in every if self.db.files.size(x)]
+
+    def _write_apart(self, name: str, df: DataFrame, keep: str) -> tuple[list[str], list[str]]:
+        """Files of the rows where the column ``keep`` is true, and of the others; that column is in neither."""
+        folder = f"data/{folder_of(name)}/{uuid.uuid4().hex}"
+        df.write.partitionBy(keep).parquet(f"{self.db.root}/{folder}")
+        kept, gone = (self._files_in(f"{folder}/{keep}={x}") for x in ("true", "false"))
+        self._note_ranges(name, kept)
+        return kept, gone
+
+    def _fixed(self, name: str, ids: DataFrame) -> DataFrame:
+        """Ids that stay the same however often they are read; the next compaction deletes the file."""
+        path = f"{self.db.root}/data/{folder_of(name)}/{uuid.uuid4().hex}"
+        ids.write.parquet(path)
+        return self.db.spark.read.schema(ids.schema).parquet(path)
+
+    def _note_ranges(self, name: str, files: list[str]) -> None:
+        own = self._own(name)
+        kind = next((x.dataType for x in own.schema.fields if x.name == "_id"), None)
+        if not files or not isinstance(kind, (T.LongType, T.StringType)):
+            return
+        state = State(T.StructType([x for x in own.schema.fields if x.name == "_id"]), files)
+        found = self.db.frame(state, "f").groupBy("f").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count_if(F.col("_id").isNull()).alias("nulls"))
+        by_path = {plain(f"{self.db.root}/{x}"): x for x in files}
+        for r in found.collect():  # a row for each file
+            if not r["nulls"]:
+                own.ranges[by_path[plain_from_scan(r["f"])]] = [r["low"], r["high"]]
 
     def _changed(self, name: str, ids: DataFrame, op: str) -> None:
         self.changes.setdefault(name, []).append(ids.select("_id", F.lit(op).alias("op")))
@@ -564,8 +699,12 @@ class Batch:
         again = added.groupBy("_id").count().where("count > 1 or _id is null").first()
         if again is not None:
             raise DuplicateId(f"{name}: _id {again['_id']} stands twice in what is inserted, or is null")
-        if own.files:
-            there = self._frame(name).select("_id").join(added.select("_id"), "_id", "left_semi").first()
+        ranges = [own.ranges.get(x) for x in written]
+        near = own.files
+        if written and all(ranges):
+            near = own.may_hold(min(r[0] for r in ranges), max(r[1] for r in ranges))
+        if near:
+            there = self.db.frame(State(own.schema, near)).select("_id").join(added.select("_id"), "_id", "left_semi").first()
             if there is not None:
                 raise DuplicateId(f"{name}: there is a document of _id {there['_id']}")
         own.files = own.files + written
@@ -579,45 +718,60 @@ class Batch:
             found = fnd.arrange(found, f)
         return found.select("_id")
 
-    def _rewrite(self, name: str, f: A.Filter, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def _rewrite(self, name: str, f: A.Filter, change: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
         """Rewrite the files that hold a chosen document.
 
-        ``change`` gets their rows with a column _hit and returns rows with columns _hit and
-        _keep besides.  Gives the ids of the rows hit, from the files as they were, with _keep.
+        ``change`` gets their rows and the names of two columns: the first says which are chosen, and
+        it returns rows with both, of which the second says which stay.  Gives the ids of the
+        rows hit, with the second column.
         """
         own = self._own(name)
         df = self._frame(name)
-        plain = not (f.order or f.offset or f.limit is not None)
-        located = df.withColumn("_file", F.input_file_name())
-        if plain:
-            touched = fnd.match(located, f).select("_file")
+        plainly = not (f.order or f.offset or f.limit is not None)
+        # names that no document ever has: they are columns of the files
+        hit, keep = (f"{x}_{uuid.uuid4().hex}" for x in ("hit", "keep"))
+        (path,) = fresh(own.schema.names, "file")
+        located = self.db.frame(own, path) if own.files else df.withColumn(path, F.lit(""))
+        if plainly:
+            touched = fnd.match(located, f).select(path)
         else:
-            touched = located.select("_id", "_file").join(self._chosen(name, f), "_id", "left_semi").select("_file")
+            chosen = self._fixed(name, self._chosen(name, f))
+            touched = located.select("_id", path).join(chosen, "_id", "left_semi").select(path)
         # names of files, of which a collection has few beside its rows
-        names = {r["_file"].rpartition("/data/")[2] for r in touched.distinct().collect()}
-        mine = [x for x in own.files if x.removeprefix("data/") in names]
+        named = {plain_from_scan(r[0]) for r in touched.distinct().collect()}
+        by_path = {plain(f"{self.db.root}/{x}"): x for x in own.files}
+        if lost := named - by_path.keys():
+            raise DocframeError(f"{name}: a document was found in a file that the manifest lacks: {sorted(lost)[0]}")
+        mine = [x for x in own.files if plain(f"{self.db.root}/{x}") in named]
         if not mine:
-            return df.limit(0).select("_id").withColumn("_keep", F.lit(True))
+            return df.limit(0).select("_id").withColumn(keep, F.lit(True))
         rows = self.db.frame(State(own.schema, mine))
-        if plain:
-            hit = C.where(f.where, C.Scope.of(rows))
-            rows = rows.withColumn("_hit", F.lit(True) if hit is None else F.coalesce(hit, F.lit(False)))
+        if plainly:
+            test = C.where(f.where, C.Scope.of(rows))
+            rows = rows.withColumn(hit, F.lit(True) if test is None else F.coalesce(test, F.lit(False)))
         else:
-            rows = rows.join(self._chosen(name, f).withColumn("_hit", F.lit(True)), "_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-        out = change(rows)
-        schema = settled(T.StructType([x for x in out.schema.fields if x.name not in ("_hit", "_keep")]))
+            rows = rows.join(chosen.withColumn(hit, F.lit(True)), "_id", "left").withColumn(hit, F.coalesce(F.col(hit), F.lit(False)))
+        out = change(rows, hit, keep)
+        schema = settled(T.StructType([x for x in out.schema.fields if x.name not in (hit, keep)]))
         merged = merge_schemas(own.schema, schema)
-        staged = f"data/{name}/{uuid.uuid4().hex}"
-        conform(out, T.StructType([*merged.fields, T.StructField("_hit", T.BooleanType()), T.StructField("_keep", T.BooleanType())])).write.parquet(f"{self.db.root}/{staged}")
-        stage = self.db.spark.read.parquet(f"{self.db.root}/{staged}")
-        kept = stage.where("_keep").drop("_hit", "_keep")
-        written = self.write(name, kept)
+        if widened(own.schema, merged):
+            # Parquet's reader adds fields but does not turn integers into floats
+            rest = [x for x in own.files if x not in mine]
+            if rest:
+                own.files = mine + self.write(name, conform(self.db.frame(State(own.schema, rest)), merged))
         own.schema = merged
+        flags = [T.StructField(hit, T.BooleanType()), T.StructField(keep, T.BooleanType())]
+        # files keep the column of hits, which no read of documents names
+        written, gone = self._write_apart(name, conform(out, T.StructType([*merged.fields, *flags])), keep)
         own.files = [x for x in own.files if x not in mine] + written
-        return stage.where("_hit").select("_id", "_keep")
+        fields = T.StructType([*[x for x in merged.fields if x.name == "_id"], flags[0]])
+        parts = [self.db.frame(State(fields, files)).where(F.col(hit)).select("_id", F.lit(stays).alias(keep)) for files, stays in ((written, True), (gone, False)) if files]
+        return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
     def _delete(self, name: str, f: A.Filter) -> int:
-        gone = self._rewrite(name, f, lambda rows: rows.withColumn("_keep", ~F.col("_hit")))
+        if name not in self.state:
+            return 0
+        gone = self._rewrite(name, f, lambda rows, hit, keep: rows.withColumn(keep, ~F.col(hit)))
         n = gone.count()
         if n:
             self._changed(name, gone, "deleted")
@@ -627,20 +781,20 @@ class Batch:
         if name not in self.state:
             return 0
 
-        def change(rows: DataFrame) -> DataFrame:
-            old = rows.columns
-            new = _by_function(rows, update) if callable(update) else upd.columns(rows, update, F.col("_hit"))
+        def change(rows: DataFrame, hit: str, keep: str) -> DataFrame:
             if callable(update):
-                return new
-            # a document that comes out the same is not written as changed
-            before = rows.select(F.col("_id").alias("_before"), F.xxhash64(*[F.to_json(F.struct(*[f"`{c}`"])) for c in old if c not in ("_hit",)]).alias("_was"))
-            now = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in old if c not in ("_hit",)])
-            added = [c for c in new.columns if c not in old]
-            same = now == F.col("_was")
-            for c in added:
-                same = same & F.col(f"`{c}`").isNull()
-            joined = new.join(before, F.col("_id").eqNullSafe(F.col("_before"))).withColumn("_hit", F.col("_hit") & ~same)
-            return joined.drop("_before", "_was").withColumn("_keep", F.lit(True))
+                return _by_function(rows, update, hit, keep)
+            # the old values go along in the row: a document that comes out the same is not told as changed
+            fields = [x for x in rows.schema.fields if x.name != hit]
+            (old,) = fresh(rows.columns, "old")
+            new = upd.columns(rows.withColumn(old, F.struct(*[F.col(f"`{x.name}`") for x in fields])), update, F.col(hit))
+            same = F.lit(True)
+            for x in new.schema.fields:
+                if x.name in (old, hit):
+                    continue
+                was = next((y for y in fields if y.name == x.name), None)
+                same = same & _unchanged(x, was, old)
+            return new.withColumn(hit, F.col(hit) & ~same).drop(old).withColumn(keep, F.lit(True))
 
         done = self._rewrite(name, f, change)
         n = done.count()
@@ -723,9 +877,25 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[fit(scope.root(f.name), f.dataType).alias(f.name, metadata=f.metadata or {}) for f in schema.fields])
 
 
-def _by_function(rows: DataFrame, function: Callable[[dict], dict | None]) -> DataFrame:
+def _unchanged(x: T.StructField, was: T.StructField | None, old: str) -> Any:
+    """Is a field as it was in the struct ``old``?"""
+    now = F.col(f"`{x.name}`")
+    if was is None:
+        return now.isNull()
+    before = F.col(old).getField(x.name)
+    if was.dataType == x.dataType and not _has_map(x.dataType):
+        return now.eqNullSafe(before)
+    # types that grew, and maps, have no equality; nulls do not show in JSON
+    return F.to_json(F.struct(now.alias("x"))).eqNullSafe(F.to_json(F.struct(before.alias("x"))))
+
+
+def _has_map(t: T.DataType) -> bool:
+    return "map<" in t.simpleString() or "variant" in t.simpleString()
+
+
+def _by_function(rows: DataFrame, function: Callable[[dict], dict | None], hit_name: str, keep_name: str) -> DataFrame:
     """Each hit document through a function, by Arrow batches; None leaves it as it is."""
-    schema = T.StructType([x for x in rows.schema.fields if x.name != "_hit"])
+    schema = T.StructType([x for x in rows.schema.fields if x.name != hit_name])
 
     def run(frames: Any) -> Any:
         import pyarrow as pa
@@ -735,7 +905,7 @@ def _by_function(rows: DataFrame, function: Callable[[dict], dict | None]) -> Da
         for batch in frames:
             done = []
             for row in batch.to_pylist():
-                hit, keep = row.pop("_hit"), True
+                hit = row.pop(hit_name)
                 if hit:
                     try:
                         new = function(dict(row))
@@ -743,11 +913,11 @@ def _by_function(rows: DataFrame, function: Callable[[dict], dict | None]) -> Da
                         raise ClosureError(f"an update's function raised {e!r}") from e
                     hit = new is not None and new != row
                     row = {**(new if hit else row), "_id": row["_id"]}
-                done.append({**{f.name: row.get(f.name) for f in schema.fields}, "_hit": hit, "_keep": keep})
+                done.append({**{f.name: row.get(f.name) for f in schema.fields}, hit_name: hit, keep_name: True})
             yield pa.RecordBatch.from_pylist(done, schema=arrow)
 
-    out = T.StructType([*schema.fields, T.StructField("_hit", T.BooleanType()), T.StructField("_keep", T.BooleanType())])
-    return rows.select(*[f"`{f.name}`" for f in schema.fields], "_hit").mapInArrow(run, out)
+    out = T.StructType([*schema.fields, T.StructField(hit_name, T.BooleanType()), T.StructField(keep_name, T.BooleanType())])
+    return rows.select(*[F.col(f"`{f.name}`") for f in schema.fields], hit_name).mapInArrow(run, out)
 
 
 __all__ = ["Batch", "Collection", "Database", "DocframeError", "Snapshot", "View"]

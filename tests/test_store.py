@@ -7,6 +7,7 @@ import pytest
 from docframe import errors as X
 from docframe.functions.values import DocId
 from docframe.operators.update import Update, apply
+from docframe.plans import ast as A
 from docframe.sources.store import Database
 
 
@@ -118,12 +119,97 @@ def test_batches_snapshots_and_conflicts(db):
     files = db.stats()["collections"]["b"]["files"]
     db.compact()
     assert db.stats()["collections"]["b"]["files"] < files and b.count() == 5
+    # an open snapshot keeps its version
+    assert before.info["pinned"] and before.collection("a").count() == 3
+    before.close()
+    db.compact()
     with pytest.raises(X.SnapshotTooOld):
         before.collection("a").count()
     with pytest.raises(X.ReadOnly):
         Database(db.spark, db.root, read_only=True).collection("b").insert({"_id": 1})
 
 
+@pytest.mark.parametrize("name", ["data", "my tasks", "a%b", "a%20b", "é/../x", "_hidden", ".dot", "x{y}*?[z]", "c-a", "changes"])
+def test_any_name_is_written_and_changed(spark, tmp_path, name):
+    db = Database(spark, f"file://{tmp_path}/a b%41/data/d")
+    c = db.collection(name)
+    c.insert([{"_id": i, "n": i} for i in range(6)])
+    assert c.update_many("n > 3", {"$inc": {"n": 10}}) == 2 and c.delete_many("n = 0") == 1 and c.delete_many("order by n desc limit 1") == 1
+    assert c.upsert_fields("_id = 1", {"$set": {"n": 7}}) == {"updated": 1} and c.update(2, {"n": 8})
+    db.batch().update(name, "_id = 3", {"$set": {"n": 9}}).insert(name, {"_id": 50, "n": 0}).delete(name, "_id = 4").commit()
+    assert [(d["_id"], d["n"]) for d in c.find("order by _id")] == [(1, 7), (2, 8), (3, 9), (50, 0)]
+    db.compact()
+    assert c.count() == 4 and db.collections() == [name] and db.check() == {"missing": [], "ids": [], "unique": []}
+
+
+def test_names_have_bounds(db):
+    for name in ("", "x" * 256):
+        with pytest.raises(X.QueryError):
+            db.collection(name).insert({"_id": 1})
+
+
+def test_a_batch_across_a_compaction_keeps_its_files(db, monkeypatch):
+    import time
+
+    c = db.collection("c")
+    for i in range(3):
+        c.insert({"_id": i})
+    late = db.batch().insert("c", {"_id": 10})
+    real, made = Database.sweep, []
+
+    def sweep(self, version, keep, horizon):
+        # another batch begins after the compaction's commit and has only its manifest left to publish
+        batch = self.batch().insert("c", {"_id": 11})
+        files = self.files
+        monkeypatch.setattr(files, "create", lambda p, text: made.append((p, text)))
+        batch.commit()
+        monkeypatch.undo()
+        out = real(self, version, keep, horizon)
+        files.create(*made[0])
+        return out
+
+    monkeypatch.setattr(Database, "sweep", sweep)
+    time.sleep(3)
+    assert db.compact()["deleted_files"] > 0
+    assert db.check() == {"missing": [], "ids": [], "unique": []} and c.count() == 4
+    with pytest.raises(X.Conflict):
+        late.commit()
+
+
+def test_inserts_read_only_files_that_may_hold_the_ids(db):
+    c = db.collection("c")
+    c.insert([{"_id": i} for i in range(10)])
+    c.insert([{"_id": i} for i in range(100, 110)])
+    state = c._state()
+    assert sorted(state.ranges[f] for f in state.may_hold(105, 200)) and all(state.ranges[f][1] >= 100 for f in state.may_hold(105, 200))
+    assert state.may_hold(20, 50) == [] and len(state.may_hold("a", "b")) == len(state.files)
+    with pytest.raises(X.DuplicateId):
+        c.insert([{"_id": 50}, {"_id": 104}])
+    c.insert({"_id": 50})
+    c.update_many("_id = 50", {"$set": {"n": 1}})
+    with pytest.raises(X.DuplicateId):
+        c.insert({"_id": 50})
+
+
+def test_a_function_may_widen_a_field_of_some_files(db):
+    c = db.collection("c")
+    c.insert([{"_id": 1, "n": 1}])
+    c.insert([{"_id": 2, "n": 2}])
+    assert c.update_many("_id = 1", {"$unset": {"n": 1}}) == 1 and c.insert({"_id": 3, "n": 2.5}) == [3]
+    assert [d.get("n") for d in c.find("order by _id")] == [None, 2.0, 2.5]
+
+
+def test_functions_see_nulls_and_integers(db):
+    c = db.collection("c")
+    c.insert([{"_id": 1, "n": 1, "t": time(1, 2)}, {"_id": 2, "n": None, "o": {"x": 5}}, {"_id": 3, "n": (1 << 60) + 1, "tags": [1, None]}])
+    seen = lambda d: (d["n"], type(d["n"]).__name__)
+    find = lambda f: [d["_id"] for d in c.find(A.Filter().custom(["n", "t", "o", "tags", "nowhere"], f))]
+    assert find(lambda d: d["n"] is None) == [2] and find(lambda d: seen(d) == ((1 << 60) + 1, "int")) == [3]
+    assert find(lambda d: d["t"] == time(1, 2)) == [1] and find(lambda d: d["o"] == {"x": 5}) == [2] and find(lambda d: d["tags"] == [1, None]) == [3]
+    assert find(lambda d: "nowhere" in d) == []
+    assert [d["_id"] for d in c.find(A.Filter().sort_by_key(lambda d: 9.0 if d["n"] is None else -float(d["n"])))] == [3, 1, 2]
+
+
 def test_indexes(db):
     c = db.collection("c")
     c.insert([{"_id": 1, "e": "x", "k": 1}, {"_id": 2, "e": None, "k": 1}, {"_id": 3, "k": 2}])
