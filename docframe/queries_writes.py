@@ -129,6 +129,44 @@ def live_sorted_final(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, *x) for i, x in enumerate(now)], "place long, _id long, c_acctbal double")
 
 
+def live_filter_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What a live query tells of each commit."""
+    _, c, steps = _commits(spark, sf)
+    rows = []
+    with c.watch("c_acctbal > 9000") as feed:
+        feed.drain()
+        for n, step in enumerate(steps):
+            step()
+            rows += [(n, type(e).__name__, e.id) for e in feed.drain()]
+    return spark.createDataFrame(rows, "step int, event string, _id long")
+
+
+def live_sorted_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What a sorted live query tells of each commit, with the places."""
+    _, c = _stored(spark, sf, "customer")
+    low = c.find_one("c_nationkey = 5 order by _id limit 1")["_id"]
+    steps = [lambda: c.update_many("_id = :i", {"$inc": {"c_acctbal": 100000.0}}, {"i": low}), lambda: c.delete_many("c_nationkey = 6"), lambda: c.insert({"_id": -5, "c_name": "late", "c_acctbal": 20.0, "c_nationkey": 5})]
+    rows = []
+    with c.watch("c_nationkey in (5, 6) order by c_acctbal desc") as feed:
+        feed.drain()
+        for n, step in enumerate(steps):
+            step()
+            rows += [(n, type(e).__name__, e.id, getattr(e, "from_", None), getattr(e, "at", None), None if e.doc is None else e.doc["c_acctbal"]) for e in feed.drain()]
+    return spark.createDataFrame(rows, "step int, event string, _id long, was int, at int, c_acctbal double")
+
+
+def update_odd_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates and deletes in collections of any name."""
+    db, out = Database(spark, scratch(spark)), None
+    for name in ("data", "my tasks", "a%b", "_x/{y}*"):
+        c = db.register(name, load(spark, sf, "nation"))
+        c.update_many("n_regionkey = 1", {"$set": {"n_name": "one"}})
+        c.delete_many("n_regionkey = 2")
+        rows = c.frame("select n_name").withColumn("collection", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def live_aggregate_final(spark: SparkSession, sf: str) -> DataFrame:
     _, c, steps = _commits(spark, sf)
     now: dict = {}
@@ -185,10 +223,21 @@ def compacted(spark: SparkSession, sf: str) -> DataFrame:
     return c.frame("select n_name")
 
 
-for _f in (export_import, compacted, delete_many, batch, upsert, snapshot_read, update_by_function, live_filter_final, live_sorted_final, live_aggregate_final, change_feed, dynamic_find, dynamic_aggregate, dynamic_fields):
+for _f in (export_import, compacted, delete_many, batch, upsert, snapshot_read, update_by_function, update_odd_names, live_filter_events, live_sorted_events, live_filter_final, live_sorted_final, live_aggregate_final, change_feed, dynamic_find, dynamic_aggregate, dynamic_fields):
     _QUERIES[_f.__name__] = _f
 _LATE = "SELECT c_custkey AS _id, c_nationkey, c_acctbal + CASE WHEN c_nationkey = 5 THEN 1000.0 ELSE 0 END AS c_acctbal FROM customer WHERE c_nationkey <> 6 UNION ALL SELECT -5, 5, 9999.5"
+_FIVE_SIX = "SELECT c_custkey AS _id, c_nationkey, c_acctbal + CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 5) THEN 100000.0 ELSE 0 END AS now, c_acctbal AS was FROM customer WHERE c_nationkey IN (5, 6)"
 _SQL |= {
+    "update_odd_names": "SELECT n_nationkey AS _id, CASE WHEN n_regionkey = 1 THEN 'one' ELSE n_name END AS n_name, collection FROM nation, (SELECT unnest(['data', 'my tasks', 'a%b', '_x/{y}*']) AS collection) WHERE n_regionkey <> 2",
+    "live_filter_events": "SELECT 0 AS step, CASE WHEN c_acctbal > 9000 THEN 'Changed' ELSE 'Entered' END AS event, c_custkey AS _id FROM customer WHERE c_nationkey = 5 AND c_acctbal + 1000 > 9000 UNION ALL SELECT 1, 'Left', c_custkey FROM customer WHERE c_nationkey = 6 AND c_acctbal > 9000 UNION ALL SELECT 2, 'Entered', -5",
+    "live_sorted_events": f"""
+WITH t AS ({_FIVE_SIX}),
+b AS (SELECT *, row_number() OVER (ORDER BY was DESC, _id) - 1 AS before, row_number() OVER (ORDER BY now DESC, _id) - 1 AS behind FROM t)
+SELECT 0 AS step, 'Changed' AS event, _id, before::INTEGER AS was, behind::INTEGER AS at, now AS c_acctbal FROM b WHERE now <> was
+UNION ALL
+SELECT 1, 'Left', _id, (SELECT count(*) FROM b x WHERE x.c_nationkey = 5 AND x.behind < b.behind)::INTEGER, NULL, NULL FROM b WHERE c_nationkey = 6
+UNION ALL
+SELECT 2, 'Entered', -5, NULL, (SELECT count(*) FROM b WHERE c_nationkey = 5 AND now > 20.0)::INTEGER, 20.0""",
     "export_import": "SELECT s_suppkey AS _id, s_name, s_acctbal FROM supplier",
     "compacted": "SELECT n_nationkey AS _id, n_name FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 500, 'late'",
     "delete_many": "SELECT c_custkey AS _id, c_name FROM customer WHERE NOT (c_acctbal < 0 OR c_nationkey IN (1, 2))",

@@ -58,7 +58,7 @@ class Files:
                 out += self.data_below(f"{p}/{name}")
             elif name.startswith("part-"):
                 out.append(f"{p}/{name}")
-        return out
+        return sorted(out)
 
     def size(self, p: str) -> int:
         return self.fs.getFileStatus(self.path(p)).getLen()
