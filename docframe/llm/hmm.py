@@ -326,9 +326,12 @@ def word_counts(blocks: DataFrame, totals: DataFrame) -> DataFrame:
     A word has one row for each block that has it, which is a small share of all rows however
     frequent the word is: a block has many words, each once.
     """
-    rows = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    of_block = rows.join(totals, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("x"))
-    return of_block.select("block", F.col("x.c").alias("counts"))
+    rows = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
+    # place and count of a word go as one number; counts that leave no room for it go as they are
+    half, c, pos = F.lit(1 << 32), F.col("c"), F.col("pos")
+    of_block = rows.groupBy("block").agg(F.collect_list(F.when(c < half, pos * half + c)).alias("small"), F.collect_list(F.when(c >= half, F.struct(pos.alias("pos"), c.alias("c")))).alias("large"))
+    every = F.concat(F.transform("small", lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("pos"), x.bitwiseAND((1 << 32) - 1).alias("c"))), F.col("large"))
+    return of_block.select("block", F.transform(F.sort_array(every), lambda x: x["c"]).alias("counts"))
 
 
 def symbol_totals(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:

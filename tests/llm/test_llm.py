@@ -374,6 +374,14 @@ def test_scores_equal_training_on_all_texts_at_once(spark, monkeypatch):
         assert got[i] == pytest.approx(want, abs=2e-2), i
 
 
+def test_counts_of_words_of_any_size(spark):
+    words = [f"w{i}" for i in range(50)]
+    counts = {w: [0, 1, (1 << 32) - 1, 1 << 32, 1 << 50][i % 5] for i, w in enumerate(words)}
+    blocks = spark.createDataFrame([(b, words[b:][::-1]) for b in range(3)], "block long, words array<string>")
+    got = hmm.word_counts(blocks, spark.createDataFrame(list(counts.items()), "word string, c long")).collect()
+    assert {r["block"]: r["counts"] for r in got} == {b: [counts[w] for w in words[b:][::-1]] for b in range(3)}
+
+
 def test_held_out_texts_score_above_the_base(spark, sf):
     rows = hmm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] > r["base_score"] for r in rows) >= 0.9 * len(rows)
