@@ -182,12 +182,16 @@ def training_rows(labelled: DataFrame) -> list[tuple[str, str]]:
     Texts of more than LONGEST_LEARNED characters are passed over.  Equal inputs give equal samples.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST_LEARNED))
-    languages = rows.select("lang").distinct().count()
-    most = _shared(ROWS_PER_LANGUAGE, LEAST_ROWS, ALL_ROWS, languages)
-    hashed = rows.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"), F.xxhash64("text").alias("t"))
-    # every task keeps its best rows of a language before they are dealt by language
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    found = hashed.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "nth", "text").collect()
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(7)), 1).alias("h"))
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return []
+    most = _shared(ROWS_PER_LANGUAGE, LEAST_ROWS, ALL_ROWS, len(counts))
+    # hashes that the rows looked for do not reach, so that few rows are dealt by language
+    reach = [(r["lang"], min((1 << 63) - 1, (2 * most + 50) * (1 << 63) // r["count"])) for r in counts]
+    near = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(reach, "lang string, reach long")), "lang").where("h <= reach")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    found = near.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "nth", "text").collect()
     return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["nth"]))]
 
 
