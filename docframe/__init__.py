@@ -7,6 +7,7 @@ from .operators.find import count, find
 from .operators.update import Update
 from .plans.ast import Aggregate, Condition, Filter
 from .plans.parser import parse_aggregate, parse_condition, parse_filter, print_aggregate, print_filter
+from .plans.template import Params, Template
 from .sources.store import Database
 
-__all__ = ["Aggregate", "Condition", "Database", "DocframeError", "Filter", "Update", "aggregate", "count", "find", "parse_aggregate", "parse_condition", "parse_filter", "print_aggregate", "print_filter"]
+__all__ = ["Aggregate", "Condition", "Database", "DocframeError", "Filter", "Params", "Template", "Update", "aggregate", "count", "find", "parse_aggregate", "parse_condition", "parse_filter", "print_aggregate", "print_filter"]

@@ -158,8 +158,8 @@ def _orderable(node: C.Node | None) -> Column:
     return node.column
 
 
-def run(df: DataFrame, a: A.Aggregate) -> DataFrame:
-    """The rows of the aggregate over all rows of ``df``.
+def run(df: DataFrame, a: A.Aggregate, ordered: bool = True) -> DataFrame:
+    """The rows of the aggregate over all rows of ``df``; in any order if not ``ordered`` and none is cut off.
 
     Columns are summed in one aggregation with partial sums; group values are shown at their paths.
     """
@@ -184,7 +184,7 @@ def run(df: DataFrame, a: A.Aggregate) -> DataFrame:
     if having is not None:
         rows = rows.where(having)
     order = C.sort_columns((*a.order, *(A.Order(g) for g in a.group)), scope, last=())
-    if order and a.group:
+    if order and a.group and (ordered or a.offset or a.limit is not None):
         rows = rows.orderBy(*order)
     if a.offset:
         rows = rows.offset(a.offset)
@@ -206,7 +206,7 @@ def _nested(keys: list[tuple]) -> list[Column]:
     return [build(t).alias(n) for n, t in tree.items()]
 
 
-def aggregate(df: DataFrame, f: Any, a: Any, params: dict[str, Any] | None = None, now: datetime | None = None) -> DataFrame:
+def aggregate(df: DataFrame, f: Any, a: Any, params: dict[str, Any] | None = None, now: datetime | None = None, ordered: bool = True) -> DataFrame:
     """The documents that the filter finds, summed up."""
     f, a = bind_both(f, a, params, now)
     if (a.window is not None or a.group_window is not None) and (f.order or f.offset or f.limit is not None):
@@ -214,7 +214,7 @@ def aggregate(df: DataFrame, f: Any, a: Any, params: dict[str, Any] | None = Non
     found = match(df, f)
     if f.offset or f.limit is not None:
         found = arrange(found, f)
-    return run(found, a)
+    return run(found, a, ordered)
 
 
 __all__ = ["aggregate", "as_aggregate", "run", "unwind"]

@@ -68,11 +68,22 @@ def settled(t: T.DataType) -> T.DataType:
     return t
 
 
-def schema_of(docs: list[dict]) -> T.StructType:
+def schema_of(docs: list[dict], whole: bool = True) -> T.StructType:
+    """The fields of the documents; if they are not the ``whole`` of them, fields of nulls stay open."""
     out = T.StructType([])
     for d in docs:
         out = merge_schemas(out, T.StructType([field_of(k, v) for k, v in d.items()]))
-    return settled(out)
+    return settled(out) if whole else out
+
+
+def to_arrow_value(value: Any, t: T.DataType) -> Any:
+    """A value as Arrow takes it for that type."""
+    if isinstance(t, T.StructType):
+        return None if value is None else {f.name: to_arrow_value(value.get(f.name), f.dataType) for f in t.fields}
+    if isinstance(t, T.ArrayType):
+        return None if value is None else [to_arrow_value(x, t.elementType) for x in value]
+    out = to_spark(value, t)
+    return bytes(out) if isinstance(out, bytearray) else out
 
 
 def to_spark(value: Any, t: T.DataType) -> Any:

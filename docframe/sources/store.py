@@ -32,6 +32,7 @@ from ..operators import update as upd
 from ..plans import ast as A
 from ..plans import compile as C
 from ..plans.parser import print_filter
+from . import explain
 from .files import Files, plain, plain_from_scan
 from .rows import document, merge_schemas, schema_of, settled, to_spark
 
@@ -179,6 +180,24 @@ class View:
         pushed = [x.strip() for x in plan.splitlines() if x.strip().startswith("PushedFilters")]
         return {"filter": print_filter(f), "plan": plan, "pushed": pushed}
 
+    def explain_run(self, f: Any = None, params: dict | None = None, now: datetime | None = None) -> dict:
+        """``explain``, and what the query did when run: documents examined, matched and returned, files
+        and bytes read of those there are, and seconds."""
+        given = fnd.as_filter(f, params, now)
+        out = self.explain(given)
+        state = self._state()
+        out |= {"hinted": bool(given.hint), "sort": [o.path.dotted if isinstance(o, A.Order) else "a function" for o in given.order], "select": None if given.select is None else [p.dotted for p in given.select], "except": [p.dotted for p in given.without]}
+        # a sort of everything changes no count, but takes samples of the rows first, which would be counted too
+        counted = given if given.limit is not None or given.offset else A.replace(given, order=())
+        return out | {"stats": explain.run(fnd.find(self.df, counted)) | {"files": len(state.files) if state else 0}}
+
+    def explain_aggregate(self, f: Any, a: Any, params: dict | None = None, now: datetime | None = None) -> dict:
+        """The plan of an aggregate and what it did; ``groups`` are those before having, skip and limit."""
+        df = self.aggregate_frame(f, a, params, now)
+        plan = df._jdf.queryExecution().explainString(self.db.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        state = self._state()
+        return {"plan": plan, "stats": explain.run(agg.aggregate(self.df, f, a, params, now, ordered=False)) | {"files": len(state.files) if state else 0}}
+
     def fields(self, f: Any = None) -> list[dict]:
         """Paths, their kinds, and how many of the found documents hold a value there; _id first."""
         df = fnd.match(self.df, fnd.as_filter(f))
@@ -401,7 +420,12 @@ class Database:
         return {"version": m["version"], "collections": own}
 
     def info(self) -> dict:
-        return {"root": self.root, "version": self.version(), "read_only": self.read_only, "collections": self.collections()}
+        leases = self.leased()
+        return {
+            "root": self.root, "mode": "read only" if self.read_only else "read and write", "version": self.version(), "read_only": self.read_only, "collections": self.collections(),
+            "versions": len([n for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json") and not n.startswith(".")]), "snapshots": sorted(x["version"] for x in leases if not x["onward"]), "feeds": sum(x["onward"] for x in leases),
+            "options": {"name_bytes": NAME_BYTES, "lease_seconds": LEASE_SECONDS},
+        }
 
     def compact(self, keep: int = 1, file_bytes: int = 256 << 20) -> dict:
         """Rewrite small files into fewer, keep the last ``keep`` versions and those that open snapshots
@@ -901,7 +925,7 @@ def _by_function(rows: DataFrame, function: Callable[[dict], dict | None], hit_n
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(out, timezone="UTC") if "timezone" in to_arrow_schema.__code__.co_varnames else to_arrow_schema(out)
+        arrow = to_arrow_schema(out)
         for batch in frames:
             done = []
             for row in batch.to_pylist():
