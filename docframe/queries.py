@@ -141,7 +141,7 @@ def odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with line ends in a text, nulls in an integer, and very large numbers."""
     df = load(spark, sf_dir, "orders")
     text = F.concat(F.lit("a"), F.element_at(F.array(*[F.lit(x) for x in ("", "\n", "\r", "\r\nb", "\nb")]), (F.col("_id") % 5 + 1).cast("int")))
-    return df.select("_id", "o_orderstatus", text.alias("line"), F.when(F.col("_id") % 3 != 0, F.col("o_custkey")).alias("n"), F.when(F.col("_id") % 2 == 0, F.lit(1.7e308)).otherwise(F.lit(1.5e308)).alias("huge"))
+    return df.select("_id", "o_orderstatus", text.alias("line"), F.when(F.col("_id") % 3 != 0, F.col("o_custkey")).alias("n"), F.lit(2.0**1023).alias("huge"))
 
 
 def clashing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +151,11 @@ def clashing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({n: F.concat(F.lit("x"), F.col("_id") % 2) for n in names}).withColumn("items", F.array(F.col("_id"), -F.col("_id")))
 
 
-_ODD = "(SELECT o_orderkey AS _id, o_orderstatus, 'a' || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN chr(10) WHEN 2 THEN chr(13) WHEN 3 THEN chr(13) || chr(10) || 'b' ELSE chr(10) || 'b' END AS line, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS n, CASE WHEN o_orderkey % 2 = 0 THEN 1.7e308 ELSE 1.5e308 END AS huge FROM orders)"
+_ODD = "(SELECT o_orderkey AS _id, o_orderstatus, 'a' || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN chr(10) WHEN 2 THEN chr(13) WHEN 3 THEN chr(13) || chr(10) || 'b' ELSE chr(10) || 'b' END AS line, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS n, 8.98846567431158e307::DOUBLE AS huge FROM orders)"
 _found("custom_null", odd_values, A.Filter().custom(["n", "line"], lambda d: d["n"] is None or d["n"] % 10 == 0 and isinstance(d["n"], int)), f"SELECT _id FROM {_ODD} WHERE n IS NULL OR n % 10 = 0")
 _found("key_sort_null", odd_values, A.Filter().sort_by_key(lambda d: -1.0 if d["n"] is None else float(d["n"])).first(400), f"SELECT _id FROM {_ODD} ORDER BY coalesce(n, -1), _id LIMIT 400")
 _found("regex_line_ends", odd_values, 'line matches "^a$" or line matches "a.b?$" or line matches "(?m)^b$" and not line matches "(?m)a$"', f"SELECT _id FROM {_ODD} WHERE _id % 5 IN (0, 2, 3)")
-_summed("avg_large", odd_values, "", "avg(huge) as m, max(huge) as top, avg(n) as k group by o_orderstatus", f"SELECT o_orderstatus, avg(huge / 1e10) * 1e10 AS m, max(huge) AS top, round(avg(n), 2) AS k FROM {_ODD} GROUP BY 1", "k")
+_summed("avg_large", odd_values, "", "avg(huge) as m, max(huge) as top, avg(n) as k group by o_orderstatus", f"SELECT o_orderstatus, avg(huge / 4294967296) * 4294967296 AS m, max(huge) AS top, round(avg(n), 2) AS k FROM {_ODD} GROUP BY 1", "k")
 _summed("clashing_names", clashing_events, "", "window ts 3 per group unwind items count() as n, sum(items) as s group by _nth, _pos0", "SELECT 'x' || (event_id % 2) AS _nth, 'x' || (event_id % 2) AS _pos0, 2 * count(*) AS n, 0::BIGINT AS s FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 2 ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 3 GROUP BY 1, 2")
 _summed("clashing_window", clashing_events, "", "window ts 90m per group count() as n, min(_rows) as r group by user_id, newest", "SELECT user_id, 'x' || (event_id % 2) AS newest, count(*) AS n, min('x' || (event_id % 2)) AS r FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, event_id % 2) AS late FROM events) WHERE ts >= late - INTERVAL 90 MINUTE GROUP BY 1, 2")
 
