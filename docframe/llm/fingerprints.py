@@ -17,9 +17,8 @@ from .common import let, literal_longs, token_hash
 K = 3
 #: Letters of scripts written without spaces stand alone; other words are cut every 16 characters.
 TOKEN = "[\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]|[^\\x20\\x09-\\x0D]{1,16}"
-#: Two chains of residues make an anchor's hash of 62 bits: primes under 2^31, so products fit a long.
-PRIMES = (2147483647, 2147483629)
-FACTORS = (1103515245, 805306457)
+#: Bits by which the hashes of an anchor's tokens (32 bits each) are set off in its hash of 64 bits.
+SHIFT = 16
 #: Hexadecimal digits of an anchor in a fingerprint: its distance from the one before, and its hash.
 ENTRY = 17
 #: Characters that one bucket of neighbouring documents holds, if so many buckets are allowed.
@@ -30,25 +29,12 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), token_hash)
 
 
-def _chained(tokens: list[Column]) -> Column:
-    """Order-keeping hash of neighbouring token hashes."""
-    parts = []
-    for prime, factor in zip(PRIMES, FACTORS):
-        x = F.lit(1).cast("long")
-        for t in tokens:
-            x = (x * factor + t) % prime
-        parts.append(x)
-    return parts[0] * (1 << 31) + parts[1]
-
-
-def _chained_all(tokens: Column) -> Column:
-    """The same of a whole array."""
-
-    def chain(prime: int, factor: int) -> Column:
-        return F.aggregate(tokens, F.lit(1).cast("long"), lambda acc, t: (acc * factor + t) % prime)
-
-    high, low = map(chain, PRIMES, FACTORS)
-    return high * (1 << 31) + low
+def _joined(tokens: list[Column]) -> Column:
+    """Order-keeping hash of up to K token hashes: each is shifted further, and all are added without carry."""
+    out = tokens[0]
+    for j, t in enumerate(tokens[1:], 1):
+        out = out.bitwiseXOR(F.shiftleft(t, SHIFT * j))
+    return out
 
 
 def anchors(text: Column) -> Column:
@@ -62,8 +48,9 @@ def anchors(text: Column) -> Column:
         at = lambda i, j: F.get(tokens, i + j)
         inner = lambda i: F.least(*[at(i, j) for j in range(1, K - 1)]) if K > 3 else at(i, 1)
         closed = F.filter(F.sequence(F.lit(0), n - K), lambda i: F.least(at(i, 0), at(i, K - 1)) <= inner(i))
-        some = F.transform(closed, lambda i: F.struct(i.alias("pos"), _chained([at(i, j) for j in range(K)]).alias("hash")))
-        whole = F.array(F.struct(F.lit(0).alias("pos"), _chained_all(tokens).alias("hash")))
+        some = F.transform(closed, lambda i: F.struct(i.alias("pos"), _joined([at(i, j) for j in range(K)]).alias("hash")))
+        zero = F.lit(0).cast("long")
+        whole = F.array(F.struct(F.lit(0).alias("pos"), _joined([F.coalesce(F.get(tokens, F.lit(j)), zero) for j in range(K)]).alias("hash")))
         none = F.array().cast("array<struct<pos:int,hash:bigint>>")
         return F.when(n == 0, none).when(n <= K, whole).otherwise(some)
 
@@ -82,7 +69,7 @@ def read_fingerprint(found: Column) -> Column:
     entries = F.transform(F.sequence(F.lit(1), F.length(found), F.lit(ENTRY)), lambda i: F.substring(found, i, F.lit(ENTRY)))
     gaps = lambda x: F.transform(x, lambda e: F.substring(e, 1, 1).cast("int"))
     place = lambda g, i: F.aggregate(F.slice(g, 1, i + 1), F.lit(0), lambda acc, x: acc + x)
-    read = let(entries, lambda es: let(gaps(es), lambda g: F.transform(es, lambda e, i: F.struct(place(g, i).alias("pos"), F.conv(F.substring(e, 2, 16), 16, 10).cast("long").alias("hash")))))
+    read = let(entries, lambda es: let(gaps(es), lambda g: F.transform(es, lambda e, i: F.struct(place(g, i).alias("pos"), F.shiftleft(F.conv(F.substring(e, 2, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(e, 10, 8), 16, 10).cast("long")).alias("hash")))))
     return F.when(F.length(found) == 0, F.array().cast("array<struct<pos:int,hash:bigint>>")).otherwise(read)
 
 

@@ -23,19 +23,11 @@ crcs AS (
 )"""
 
 
-def _chained(tokens: list[str]) -> str:
-    parts = []
-    for prime, factor in zip(fp.PRIMES, fp.FACTORS):
-        x = "1::BIGINT"
-        for t in tokens:
-            x = f"(({x} * {factor} + {t}) % {prime})"
-        parts.append(x)
-    return f"({parts[0]} * {1 << 31} + {parts[1]})"
-
-
-def _chained_all(ordered: str) -> str:
-    high, low = (f"list_reduce(list_prepend(1::BIGINT, {ordered}), lambda a, t: (a * {f} + t) % {p})" for p, f in zip(fp.PRIMES, fp.FACTORS))
-    return f"({high} * {1 << 31} + {low})"
+def _joined(tokens: list[str]) -> str:
+    out = f"{tokens[0]}::UBIGINT"
+    for j, t in enumerate(tokens[1:], 1):
+        out = f"xor({out}, {t}::UBIGINT << {fp.SHIFT * j})"
+    return out
 
 
 def _anchors(part: str) -> str:
@@ -44,9 +36,9 @@ def _anchors(part: str) -> str:
 {part}_tok AS (SELECT id, pos, crc::BIGINT AS h FROM tokens JOIN crcs USING (tok) WHERE part = '{part}'),
 {part}_mer AS (SELECT id, row_number() OVER w - 1 AS pos, h AS t1, lead(h, 1) OVER w AS t2, lead(h, 2) OVER w AS t3, count(*) OVER (PARTITION BY id) AS n FROM {part}_tok WINDOW w AS (PARTITION BY id ORDER BY pos)),
 {part} AS (
-  SELECT id, pos, {_chained(["t1", "t2", "t3"])} AS hash FROM {part}_mer WHERE n > {fp.K} AND t3 IS NOT NULL AND least(t1, t3) <= t2
+  SELECT id, pos, {_joined(["t1", "t2", "t3"])} AS hash FROM {part}_mer WHERE n > {fp.K} AND t3 IS NOT NULL AND least(t1, t3) <= t2
   UNION ALL
-  SELECT id, 0, {_chained_all("list(h ORDER BY pos)")} FROM {part}_tok GROUP BY id HAVING count(*) <= {fp.K}
+  SELECT id, 0, {_joined(["t1", "coalesce(t2, 0)", "coalesce(t3, 0)"])} FROM {part}_mer WHERE n <= {fp.K} AND pos = 0
 ),
 {part}_1 AS (SELECT id, hash, min(pos) AS pos FROM {part} GROUP BY id, hash),
 {part}_print AS (
