@@ -136,11 +136,6 @@ def process_cache(key: str, make: Callable):
     return store[key]
 
 
-def stable_fraction(column: Column, fraction: float, salt: int = 0) -> Column:
-    """True for about that share of the values, always the same ones."""
-    return F.pmod(F.xxhash64(column.cast("string"), F.lit(salt)), F.lit(1_000_003)) < F.lit(int(fraction * 1_000_003) + 1)
-
-
 def crc_mod(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
