@@ -90,7 +90,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     out = np.zeros((BUCKETS, SIZE), np.float32)
     for batch in found.to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).flatten().to_numpy().reshape(-1, SIZE)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def pool(text: str | None, vectors: np.ndarray, memory: Tokens) -> np.ndarray:
@@ -157,7 +158,7 @@ def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np
 def fit(x: np.ndarray, y: np.ndarray) -> Network:
     """Train on four of five rows and calibrate on the fifth.  With one class or none: its share, shrunk."""
     rng = np.random.default_rng(7)
-    x = x.reshape(-1, WIDTH).astype(np.float64)
+    x = np.array(x, np.float64).reshape(-1, WIDTH)
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     net = Network(mean, scale, rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
     if len(set(y.tolist())) < 2:
@@ -165,7 +166,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     apart = np.arange(len(y)) % 5 == 4
     if len(set(y[apart].tolist())) < 2:
         apart[:] = False
-    tx, ty = (x[~apart] - mean) / scale, y[~apart]
+    # standardised in place: the rows are the largest thing that the driver holds
+    x -= mean
+    x /= scale
+    tx, ty = x[~apart], y[~apart]
     net.w2 = rng.normal(0, HIDDEN**-0.5, HIDDEN)
     params = [net.w1, net.b1, net.w2, np.array([net.b2])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -176,7 +180,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
             p -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
     net.b2 = float(params[3][0])
     if apart.any():
-        net.temperature = fit_temperature(net.logits(x[apart]), y[apart])
+        net.temperature = fit_temperature(np.tanh(x[apart] @ net.w1 + net.b1) @ net.w2 + net.b2, y[apart])
     return net
 
 
@@ -211,8 +215,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     # LABELLED rows of two numbers at most are broadcast
     found = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, vector array<float>")
     found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("vector").alias("vector"))
-    got = sorted(found.select("quality", "vector", F.xxhash64("doc_id", F.lit(9)).alias("h")).collect(), key=lambda r: r["h"])
-    return Scorer(vectors, fit(np.array([r["vector"] for r in got], np.float64), np.array([r["quality"] for r in got], np.float64)))
+    # by Arrow: lists of numbers would take many times the memory of the driver
+    got = found.select("quality", "vector", F.xxhash64("doc_id", F.lit(9)).alias("h")).toArrow().sort_by("h")
+    x = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in got.column("vector").chunks)]).reshape(-1, WIDTH)
+    return Scorer(vectors, fit(x, got.column("quality").to_numpy().astype(np.float64)))
 
 
 def classify(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
