@@ -1,9 +1,9 @@
-"""Near copies by the Jaccard likeness of word shingles: MinHash bands find candidates, whole sets decide.
+"""Near copies by the Jaccard likeness of word shingles: SimHash and pigeonring find candidates, whole sets decide.
 
 A text is the set of its ``SHINGLE_WORDS``-word shingles (one of all its words if it has fewer),
-hashed to 64 bits.  Its MinHash values are cut into ``BANDS`` bands of ``ROWS``; two texts of
-likeness j share a band with probability 1 - (1 - j^ROWS)^BANDS: 0.99993 at 0.8, more above.
-Every pair that shares a band, and could still join two classes, is decided by its whole sets.
+hashed to 64 bits.  The set's SimHash is a ring of 2048 bits (``ring.py``), as 64 are too few to tell
+0.8 from less.  Every pair that the pigeonring search finds, and that could still join two
+classes, is decided by its whole sets.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ring
 from .common import LOWER_ASCII, join_lookup, materialize, small_batches
 from .components import connected_components
 
 SHINGLE_WORDS, LEAST_LIKENESS, SEED = 5, 0.8, 42
-BANDS, ROWS = 24, 5
-#: Members of a bucket that are compared pair by pair; larger buckets go by pivots, round after round.
+#: The sets in larger buckets are looked through for shingles that no other there has.
 PAIRWISE_BUCKET = 24
-_ODD_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS + ROWS, np.uint64) | np.uint64(1)
+#: Starts of the ring by which crowds of copies are made classes before the others are tried.
+FIRST_STARTS = 8
+#: Shingles of a crowd that a task holds before it counts them.
+HELD_SHINGLES = 1 << 20
 
 
 def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -38,15 +41,6 @@ def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(x), SEED) for x in zip(*(found[i:] for i in range(n)))], np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band; equal in two texts if the band's MinHash values are."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, (_ODD_FACTORS[: BANDS * ROWS, None] * shingles[at : at + 4096]).min(axis=1))
-    mixed = (least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _ODD_FACTORS[BANDS * ROWS :]
-    return mixed.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
 def _name(shingles: np.ndarray) -> int:
     """One signed 64-bit name of a set; 0 for the empty one."""
     import xxhash
@@ -61,20 +55,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, fp, size, keys) of every row: its set's name, size and band keys."""
+    """(doc_id, fp, size, rings) of every row: its set's name, size and SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = [], [], []
-            for text in batch.column(1):
-                found = shingle_set(text.as_py(), n)
-                fps.append(_name(found))
-                sizes.append(len(found))
-                keys.append(band_keys(found).view(np.int64) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "size", "keys"])
+            found = [shingle_set(text.as_py(), n) for text in batch.column(1)]
+            rings = [ring.rings(x) if len(x) else b"" for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_name, found), pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(rings, pa.binary())], ["doc_id", "fp", "size", "rings"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size long, rings binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -104,81 +94,71 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.distinct().join(one, "a").join(two, "b").select("u", "v", "set_a", "set_b").mapInArrow(run, "u long, v long")
 
 
-def _pairs(a: DataFrame, b: DataFrame, on, least: float) -> DataFrame:
-    """(a, b, u, v): pairs within a bucket that may have the likeness, the lesser fp first.
+def _common(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, common) of every fp of ``crowd``: how many of a set's shingles another set of the crowd has too."""
 
-    Two texts share at most ``common`` shingles of either, so no pair is left out that has it.
-    """
-    most = F.least("a.common", "b.common")
-    fits = most * (1 + least) >= F.lit(least) * (F.col("a.size") + F.col("b.size")) - 1e-6
-    found = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & fits & on)
-    return found.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"), F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"))
-
-
-def _common(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``large`` (key, fp, rep, size) with ``common``: how many of a set's shingles another set in a
-    large bucket has too.  Members that share too few with any set of their bucket's sizes are left out.
-    """
+    def told(fps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        every, at, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(fps, list(map(len, sets)))[at]), pa.array(n)], ["shingle", "fp", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fps, found, rows = [], [], 0
         for batch in batches:
             for fp, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(whole.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), fp, np.int64))], ["shingle", "fp"])
+                fps.append(fp)
+                found.append(np.frombuffer(whole.as_py(), np.int64))
+                rows += len(found[-1])
+                if rows > HELD_SHINGLES:
+                    yield told(fps, found)
+                    fps, found, rows = [], [], 0
+        if fps:
+            yield told(fps, found)
+
+    own = sets.join(crowd, "fp", "left_semi")
+    every = own.select("fp", "set").mapInArrow(run, "shingle long, fp long, n long")
+    alone = every.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("fp").alias("fp")).where("n = 1").groupBy("fp").agg(F.count("*").alias("alone"))
+    own = own.select("fp", F.expr("octet_length(set) div 8").alias("size"))
+    return own.join(alone, "fp", "left").select("fp", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
-    every = sets.join(large.select("fp").distinct(), "fp", "left_semi").select("fp", "set").mapInArrow(run, "shingle long, fp long")
-    alone = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).where("n = 1").groupBy("fp").agg(F.count("*").alias("alone"))
-    own = large.select("fp", "size").distinct().join(alone, "fp", "left").select("fp", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-    least_size = large.groupBy("key").agg(F.min("size").alias("smallest"))
-    found = large.join(own, "fp").join(least_size, "key")
-    best = F.col("common") / (F.col("size") + F.greatest("smallest", "common") - F.col("common"))
-    return found.where(best >= least - 1e-6).select("key", "fp", "rep", "size", "common")
+
+def _placed(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``nodes`` with the ``class`` that the components found have so far; a node without one is its own."""
+    if found is None:
+        return nodes.withColumn("class", F.col("rep"))
+    return nodes.join(found, nodes["rep"] == found["id"], "left").withColumn("class", F.coalesce("component", "rep")).drop("id", "component")
 
 
 def classes(docs: DataFrame, least: float = LEAST_LIKENESS, n: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
 
     Documents of likeness ``least`` or more are linked; component_id is the smallest doc_id that
-    links reach.  Equal sets are one node.  A bucket of more than PAIRWISE_BUCKET nodes is not
-    compared pair by pair.  Its nodes are first compared with the one that has the least of its own,
-    which copies of one text are most alike to; then in each round some nodes outside the
-    bucket's largest class, four times as many as in the last, are compared with all nodes of other
-    classes and are done.  It ends when the bucket is one class, so a large group of near copies
-    costs its size, and no pair that could join two classes is left out.  Null ids get the
-    component of their set.
+    links reach.  Equal sets are one node.  First, members of the buckets of a few starts are compared with
+    the one of their bucket that has the least of its own, which copies of one text are most alike to;
+    so most of a crowd is one class.  Then all buckets give the pairs of different classes, each pair
+    once: some members are compared with all others before the rest are, in ``ring.TURNS`` turns, and
+    what they join is not compared again.  No candidate that could join two
+    classes is left out.  Null ids get the component of their set.
     """
     rows = materialize(_described(docs, n), "shingles")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")).where("rep is not null"), "nodes")
-    keyed = nodes.select("fp", "rep", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    keyed = materialize(keyed.join(shared, "key"), "bands")
-    sets = materialize(_sets(docs, keyed.select("fp", "rep").distinct(), n), "sets")
-
-    few = keyed.where(F.col("members") <= PAIRWISE_BUCKET).withColumn("common", F.col("size"))
-    edges = materialize(_linked(_pairs(few, few, F.col("a.fp") < F.col("b.fp"), least), sets, least), "links")
-    large = keyed.where(F.col("members") > PAIRWISE_BUCKET).select("key", "fp", "rep", "size")
-    some = not large.isEmpty()
-    if some:
-        left = materialize(_common(large, sets, least), "large")
-        hub = left.groupBy("key").agg(F.max_by(F.struct("fp", "rep", "size", "common"), F.struct(F.col("common") / F.col("size"), "fp")).alias("x")).select("key", "x.*")
-        edges = edges.union(materialize(_linked(_pairs(hub, left, F.col("a.fp") != F.col("b.fp"), least), sets, least), "links"))
-        pivots = 4
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("rings").alias("rings")).where("rep is not null"), "nodes")
+    nodes = nodes.withColumn("common", F.lit(-1).cast("long"))
+
+    met = materialize(ring.members(_placed(nodes, None), least, FIRST_STARTS), "buckets")
+    crowd = met.join(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE_BUCKET), "key", "left_semi").select("fp").distinct()
+    crowd = materialize(crowd, "crowd")
+    sets = materialize(_sets(docs, nodes.join(met, "fp", "left_semi").select("fp", "rep"), n), "sets")
+    common = materialize(_common(crowd, sets), "common")
+    nodes = nodes.drop("common").join(common, "fp", "left").withColumn("common", F.coalesce("common", F.lit(-1).cast("long")))
+    edges = materialize(_linked(ring.pairs(_placed(nodes, None).join(met, "fp"), least, None), sets, least), "links")
     found = connected_components(edges)
-    while some and not left.isEmpty():
-        placed = left.join(found, left["rep"] == found["id"], "left").select("key", "fp", "rep", "size", "common", F.coalesce("component", "rep").alias("class"))
-        sizes = placed.groupBy("key", "class").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-        placed = placed.join(sizes, "key")
-        # powers of two: buckets of like size choose the same nodes
-        one_in = F.when(F.col("strays") <= pivots, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("strays") / pivots)))).cast("long")
-        chosen = (F.col("class") != F.col("largest")) & (F.pmod(F.xxhash64("fp"), one_in) == 0)
-        placed = materialize(placed.select("key", "fp", "rep", "size", "common", "class", chosen.alias("chosen")), "rounds")
-        if placed.isEmpty():
-            break
-        more = materialize(_linked(_pairs(placed.where("chosen"), placed, F.col("a.class") != F.col("b.class"), least), sets, least), "links")
+
+    met = materialize(ring.members(_placed(nodes, found), least), "buckets")
+    nodes_met = materialize(nodes.join(met.select("fp").distinct(), "fp"), "nodes")
+    sets = materialize(_sets(docs, nodes_met.select("fp", "rep"), n), "sets")
+    for turn in range(ring.TURNS):
+        more = materialize(_linked(ring.pairs(_placed(nodes_met, found).join(met, "fp"), least, turn), sets, least), "links")
         if not more.isEmpty():
             edges = edges.union(more)
             found = connected_components(edges)
-        left, pivots = placed.where("not chosen").select("key", "fp", "rep", "size", "common"), pivots * 4
     named = nodes.join(found, nodes["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return join_lookup(rows.select("doc_id", "fp"), named, ["fp"], "left").select("doc_id", "fp", "component_id")

@@ -174,7 +174,7 @@ def keep_one(docs: DataFrame, least: float | None = None, n: int = SHINGLE_WORDS
     """``docs`` with one row of each class, as ``kept_rows`` chooses it.
 
     Classes are those of ``near_duplicates``.  With ``least`` they are those of texts whose shingles
-    have that Jaccard likeness at least: texts of likeness 0.8 differ in about ten of 64 bits, more
-    than segments of a fingerprint can find, so ``shingles.classes`` takes over.
+    have that Jaccard likeness at least: texts of likeness 0.8 differ in about ten of 64 bits, so
+    ``shingles.classes`` takes longer SimHashes to the pigeonring search, and whole sets decide.
     """
     return kept_rows(docs, near_duplicates(docs, n) if least is None else shingles.classes(docs, least, n))

@@ -120,3 +120,57 @@ def test_count_has_no_cap(spark, tmp_path):
 
     spark.range(100_300).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
     assert queries.queries()["count"](spark, str(tmp_path)).first()["n"] == 100_293
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 39, 40, 301])
+def test_rings_are_simhashes(n):
+    """A bit of a ring is 1 if set in over half the shingles' hashes, and runs go around."""
+    import numpy as np
+
+    from docframe.llm import ring
+
+    own = np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64)
+    got = np.frombuffer(ring.rings(own), np.uint64).reshape(-1, ring.WORDS)
+    assert len(got) == (2 if n < ring.SMALL else 1)
+    for i, words in enumerate(got):
+        hashes = ring._words(own, i * ring.WORDS)
+        ones = sum((hashes >> np.uint64(b) & np.uint64(1)).sum(axis=1).astype(object) * 0 + ((2 * (hashes >> np.uint64(b) & np.uint64(1)).sum(axis=1) > n).astype(object) << b) for b in range(64))
+        assert ones.tolist() == words.tolist()
+    near, further = ring.runs_of(got[:1], ring.SEGMENTS)
+    around = [int(x) for x in np.tile(got[0].view(np.uint16), 2)]
+    for i in range(ring.SEGMENTS):
+        assert int(near[0, i]) == sum(x << 16 * k for k, x in enumerate(around[i : i + 4]))
+        assert int(further[0, i]) == sum(x << 16 * k for k, x in enumerate(around[i + 4 : i + 8]))
+
+
+def test_candidates_of_the_stage_come_from_the_pigeonring(spark, monkeypatch):
+    """Without the buckets of the SimHash's ring no copies are found; with them all of likeness 0.8 are."""
+    from docframe.llm import ring, simhash
+
+    rng, texts = random.Random(8), []
+    for size in [9, 10, 12, 20, 60, 200] * 4:
+        own = [word(rng) for _ in range(size)]
+        texts += [" ".join(own), " ".join([*own, word(rng)])]
+    docs = documents(spark, texts)
+    assert {r["doc_id"] for r in simhash.keep_one(docs, 0.8, 5).select("doc_id").collect()} == {i for i in range(len(texts)) if i % 2 == 0}
+    real = ring.members
+    monkeypatch.setattr(ring, "members", lambda *a: real(*a).where("false"))
+    assert simhash.keep_one(docs, 0.8, 5).count() == len(texts)
+
+
+def test_a_pair_of_a_crowd_is_told_once(spark, monkeypatch):
+    """However many buckets two texts share: rows before any distinct, the hubs' aside."""
+    rng = random.Random(42)
+    own = [word(rng) for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        copy = own[:]
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4, 5])):
+            copy[at] = rng.choice(["one", "two", "three"])
+        texts.append(" ".join(copy))
+    rows = []
+    real = shingles._linked
+    monkeypatch.setattr(shingles, "_linked", lambda pairs, *a: (rows.append((pairs.count(), pairs.distinct().count())), real(pairs, *a))[1])
+    shingles.classes(documents(spark, texts)).count()
+    assert len(rows) > 1 and all(told == different for told, different in rows[1:]), rows
+    assert sum(told for told, _ in rows[1:]) <= len(texts) * (len(texts) - 1) // 2, rows
