@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.names import fresh
 from .common import discard, materialize
 
+#: So many edges are one task's work in a round; more are dealt to all tasks.
+FEW_EDGES = 20_000
+
 
 def _stars(sym: DataFrame, keep_larger: bool) -> DataFrame:
     """From pairs (u, v): link the chosen neighbours of each u to the least of them and u."""
@@ -32,15 +35,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     current = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    table, seen, number = current, None, current.count()
     while True:
+        if number <= FEW_EDGES:
+            current = current.coalesce(1)
         sym = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        last, current = current, materialize(_stars(_stars(sym, True), False), "edges")
+        last, current = table, materialize(_stars(_stars(sym, True), False), "edges")
+        table = current
         discard(last)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, number = now, now[0]
     ids = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
