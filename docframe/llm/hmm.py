@@ -151,6 +151,8 @@ class Model:
         # emissions relative to the mean over states: products of steps stay near 1
         mean = emit.mean(axis=1, keepdims=True)
         near = emit / mean
+        # a row a state: what is done for each state runs over stretches side by side in memory
+        likely, onward = np.ascontiguousarray(near.T), np.ascontiguousarray(move.T)
         pieces = -(-lengths // STRETCH)
         doc = np.repeat(np.arange(len(lengths)), pieces)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -176,14 +178,18 @@ class Model:
         if (pieces > 1).any():
             whole = np.empty((len(doc), k, k), np.float32)
             for own, running, _ in groups(order[pieces[doc[order]] > 1]):
-                m = near[symbols[begin[own]]][:, :, None] * np.eye(k, dtype=np.float32)
-                for t in range(1, len(running)):
-                    n = running[t]
-                    done = m[:n].reshape(n * k, k) @ move
-                    m[:n] = done.reshape(n, k, k) * near[symbols[begin[own[:n]] + t]][:, None, :]
-                    if t % 4 == 0:
-                        m[:n] /= m[:n].sum(axis=(1, 2), keepdims=True)
-                whole[own] = m / m.sum(axis=(1, 2), keepdims=True)
+                m = likely[:, symbols[begin[own]]][:, None, :] * np.eye(k, dtype=np.float32)[:, :, None]
+                for t in range(1, len(running) + 1):
+                    n = running[t] if t < len(running) else 0
+                    if n < m.shape[2]:
+                        ended = m[:, :, n:]
+                        whole[own[n : m.shape[2]]] = (ended / ended.sum(axis=(0, 1))).transpose(2, 1, 0)
+                        m = np.ascontiguousarray(m[:, :, :n])
+                    if n:
+                        m = (onward @ m.reshape(k, k * n)).reshape(k, k, n)
+                        m *= likely[:, symbols[begin[own[:n]] + t]][:, None, :]
+                        if t % 4 == 0:
+                            m /= m.sum(axis=(0, 1))
             for p in range(1, int(pieces.max())):
                 now = np.flatnonzero(nth == p)
                 end = np.einsum("ni,nij->nj", prior[now - 1], whole[now - 1])
@@ -195,38 +201,43 @@ class Model:
                 ahead[now - 1] = back / back.sum(axis=1, keepdims=True)
 
         starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)), 0.0
+        with np.errstate(divide="ignore"):
+            logs = np.log(mean[:, 0], dtype=np.float64)
         for own, running, place in groups(order):
             seen = np.empty(place[-1], np.int64)
-            states = np.empty((place[-1], k), np.float32)
-            scale = np.empty((place[-1], 1), np.float32)
+            for t, n in enumerate(running):
+                np.take(symbols, begin[own[:n]] + t, out=seen[place[t] : place[t] + n])
+            states = np.empty((k, place[-1]), np.float32)
+            scale = np.empty(place[-1], np.float32)
             for t, n in enumerate(running):
                 at = slice(place[t], place[t] + n)
-                seen[at] = symbols[begin[own[:n]] + t]
-                alpha = (prior[own] if t == 0 else states[place[t - 1] : place[t - 1] + n] @ move) * near[seen[at]]
-                scale[at] = alpha.sum(axis=1, keepdims=True)
-                states[at] = alpha / scale[at]
-            total += float(np.log(scale, dtype=np.float64).sum() + np.log(mean[seen], dtype=np.float64).sum())
-            beta = np.empty((len(own), k), np.float32)
+                alpha = prior[own].T if t == 0 else onward @ states[:, place[t - 1] : place[t - 1] + n]
+                alpha = alpha * likely[:, seen[at]]
+                alpha.sum(axis=0, out=scale[at])
+                np.divide(alpha, scale[at], out=states[:, at])
+            total += float(np.log(scale, dtype=np.float64).sum() + logs[seen].sum())
+            beta = np.empty((k, len(own)), np.float32)
             inside = 0
             for t in range(len(running) - 1, -1, -1):
                 n, at = running[t], slice(place[t], place[t] + running[t])
                 # stretches that end here take up what follows them
                 if n > inside:
-                    last = states[place[t] + inside : place[t] + n] * ahead[own[inside:n]]
-                    beta[inside:n] = ahead[own[inside:n]] / last.sum(axis=1, keepdims=True)
+                    following = ahead[own[inside:n]].T
+                    beta[:, inside:n] = following / (states[:, place[t] + inside : place[t] + n] * following).sum(axis=0)
                     inside = n
-                here = near[seen[at]] * beta[:n] / scale[at]
+                here = likely[:, seen[at]]
+                here *= beta[:, :n]
+                here /= scale[at]
                 if t:
-                    earlier = states[place[t - 1] : place[t - 1] + n]
-                    moves += earlier.T @ here
+                    moves += states[:, place[t - 1] : place[t - 1] + n] @ here.T
                 else:
                     later = nth[own] > 0
-                    moves += before[own[later]].T @ here[later]
-                    starts += (states[at] * beta[:n])[~later].sum(axis=0, dtype=np.float64)
-                states[at] *= beta[:n]
-                beta[:n] = here @ move.T
+                    moves += before[own[later]].T @ here[:, later].T
+                    starts += (states[:, at] * beta[:, :n])[:, ~later].sum(axis=1, dtype=np.float64)
+                states[:, at] *= beta[:, :n]
+                beta[:, :n] = move @ here
             for s in range(k):
-                emits[:, s] += np.bincount(seen, weights=states[:, s], minlength=SYMBOLS)
+                emits[:, s] += np.bincount(seen, weights=states[s], minlength=SYMBOLS)
         return starts, moves * self.move, emits, total
 
     def improved(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, background: np.ndarray) -> "Model":
