@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,17 @@ def process_cache(key: str, make: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, as far as its allocators can.
+
+    They keep much of it, and workers live on between tasks and stages.
+    """
+    pa.default_memory_pool().release_unused()
+    # glibc's; other C libraries lack it
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def crc_mod(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -21,15 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache, small_batches
+from .common import give_back, materialize, process_cache, small_batches
 
 LENGTH, WINDOWS, MIN_CUT, END = 2048, 16, 32, 1
 #: Partitions whose leftovers one task of the next round packs.
 GROUP = 32
-#: Parts of texts that one worker remembers; beyond it, those of the last texts stay.
-REMEMBERED = 600_000
-#: Bytes of text that are worked on together.
-CHUNK_BYTES = 8 << 20
+#: Parts of texts that one worker remembers, about 180 bytes each; beyond it, those of the last texts stay.
+REMEMBERED = 300_000
+#: Bytes of text that are worked on together; the arrays and the library take some 20 times as much.
+CHUNK_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -243,11 +243,13 @@ def pack_documents(docs: DataFrame, path: str, windows: int = WINDOWS) -> DataFr
         memory = process_cache(f"packing:{path}", lambda: TextIds(path))
 
         def items() -> Iterator[tuple]:
+            give_back()
             for batch in batches:
                 docs_of = batch.column(0).to_pylist()
                 for start, texts in chunks(batch.column(1)):
                     for i, ids in enumerate(memory.documents(texts), start):
                         yield len(ids) // 4, (docs_of[i], 0, memoryview(ids), len(ids) // 4)
+                give_back()
 
         yield from _batches(_pack(items(), windows, TaskContext.get().partitionId() << 32))
 

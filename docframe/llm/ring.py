@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 WORDS, SHARE, SMALL = 32, 3.4, 40
 SEGMENTS = WORDS * 4
 RUNS = (2, 4, 8)
@@ -27,8 +29,8 @@ MOST_BITS = 384
 NEIGHBOURS = 64
 #: Comparisons made within a bucket; members of a bucket that needs more all stay.
 COMPARISONS = 1 << 24
-#: Rows that are worked on at a time, about.
-HELD_ROWS = 1 << 18
+#: Bytes of rows that are worked on at a time, about; lists of rings take several times as much.
+HELD_BYTES = 12 << 20
 TURNS = 3
 _ALL = ~np.uint64(0)
 
@@ -103,22 +105,24 @@ def may_be_alike(one: tuple, two: tuple, least: float) -> np.ndarray:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole buckets from batches ordered by ``key``."""
+    """Tables of whole buckets from batches ordered by ``key``, of about HELD_BYTES unless a bucket has more."""
+    give_back()
     held: list[pa.RecordBatch] = []
-    rows, again = 0, HELD_ROWS
+    size, again = 0, HELD_BYTES
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows < again:
+        size += batch.nbytes
+        if size < again:
             continue
         whole = pa.Table.from_batches(held)
         key = whole.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
             yield whole.slice(0, cut)
-        held, rows = whole.slice(cut).combine_chunks().to_batches(), whole.num_rows - cut
-        again = max(HELD_ROWS, 2 * rows)
-    if rows:
+        held = whole.slice(cut).combine_chunks().to_batches()
+        size = sum(x.nbytes for x in held)
+        again = max(HELD_BYTES, 2 * size)
+    if any(x.num_rows for x in held):
         yield pa.Table.from_batches(held)
 
 

@@ -859,3 +859,42 @@ def test_pipeline_stages_take_odd_rows(spark, sf):
     for docs in (docs_of(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf).collect()
+
+
+#: Packs a batch of new words as a worker does, and tells how much its memory grew at most, in MB.
+PACKED = """
+import random, resource, sys
+import pyarrow as pa
+from docframe.llm import packing
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+memory, rng = packing.TextIds(sys.argv[1]), random.Random(4)
+letters = "abcdefghijklmnopqrstuvwxyz"
+texts = pa.array([" ".join("".join(rng.choices(letters, k=7)) for _ in range(250)) for _ in range(4000)])
+before = most()
+ids = [x for _, some in packing.chunks(texts) for x in memory.documents(some)]
+print(most() - before, len(ids), sum(map(len, ids)))
+"""
+
+
+def test_packing_new_words_takes_little_memory():
+    import subprocess
+    import sys
+
+    found = subprocess.run([sys.executable, "-c", PACKED, tokenizer_path("word_bpe_49k.json")], capture_output=True, text=True, timeout=300, check=True)
+    grown, texts, size = found.stdout.split()
+    # the ids alone are about 4 bytes a letter
+    assert texts == "4000" and int(size) > 4_000_000 and float(grown) - int(size) / 2**20 < 350
+
+
+def test_buckets_with_rings_are_taken_a_few_bytes_at_a_time():
+    import pyarrow as pa
+
+    from docframe.llm import ring
+
+    key = np.sort(np.arange(60_000, dtype=np.int32) % 700)
+    rows = pa.table({"key": key, "rings": pa.array([bytes(512)] * len(key), pa.binary())})
+    tables = list(ring._buckets(iter(rows.to_batches(max_chunksize=10_000))))
+    assert all(x.nbytes < 2 * ring.HELD_BYTES for x in tables)
+    keys = [x.column("key").to_numpy() for x in tables]
+    assert np.array_equal(np.concatenate(keys), key) and len(set(np.concatenate([np.unique(x) for x in keys]))) == sum(len(np.unique(x)) for x in keys) == 700
+    assert not list(ring._buckets(iter(rows.slice(0, 0).to_batches())))
